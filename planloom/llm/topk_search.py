@@ -65,8 +65,8 @@ class ImpactIndex:
             np.add.at(gone, rows, values**2 - (np.abs(values) - impact) ** 2)
             key = dims * 2 + (values < 0)
             by = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[by]) > 0]) if len(by) else []
-            for start, end in zip(starts, [*starts[1:], len(by)], strict=True):
+            starts = np.flatnonzero(np.r_[True, np.diff(key[by]) > 0][: len(by)])
+            for start, end in zip(starts, np.r_[starts[1:], len(by)][: len(starts)], strict=True):
                 k = int(key[by[start]])
                 posted.append((k >> 1, -impact if k & 1 else impact, rows[by[start:end]]))
             self.segments.append((posted, gone))
