@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import language_id, secret_scan, topk_search
+from planloom.llm import language_id, secret_scan, simhash_dedup, topk_search
 from planloom.llm.mixing import mix
 from planloom.llm.tables import table
 from planloom.llm.token_counts import token_counts
@@ -15,6 +15,11 @@ from planloom.llm.token_counts import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
