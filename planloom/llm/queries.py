@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import language_id, secret_scan, simhash_dedup, topk_search
+from planloom.llm import chat_format, decontaminate, language_id, secret_scan, simhash_dedup, topk_search
 from planloom.llm.mixing import mix
 from planloom.llm.tables import table
 from planloom.llm.token_counts import token_counts
@@ -24,10 +24,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "n_words")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mix(table(spark, sf_dir, "documents")).taken()
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -49,4 +58,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": topk_search.ORACLE_SQL}
+    return {"op4_chat_format": chat_format.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
