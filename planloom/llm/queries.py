@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import chat_format, decontaminate, language_id, secret_scan, simhash_dedup, topk_search
+from planloom.llm import chat_format, decontaminate, html_extract, language_id, secret_scan, simhash_dedup, topk_search
 from planloom.llm.mixing import mix
 from planloom.llm.tables import table
 from planloom.llm.token_counts import token_counts
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
