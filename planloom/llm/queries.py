@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import chat_format, decontaminate, html_extract, language_id, secret_scan, simhash_dedup, topk_search
+from planloom.llm import chat_format, decontaminate, html_extract, language_id, secret_scan, simhash_dedup, substring_dedup, topk_search
 from planloom.llm.mixing import mix
 from planloom.llm.tables import table
 from planloom.llm.token_counts import token_counts
@@ -32,6 +32,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -62,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
+    return {"op4_chat_format": chat_format.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op5_suffix_array_dedup": substring_dedup.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
