@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,19 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, a local one only where that is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planloom"
+
 
-    A cluster names that folder in ``spark.checkpoint.dir``; only where the
-    setting is absent (tests) a local folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables under the shared root."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/checkpoints/planloom")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
