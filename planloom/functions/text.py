@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that are keywords in a DDL script.
 DDL_WORDS = ("create", "table", "integer", "real", "text", "primary", "key", "references")
@@ -24,7 +25,7 @@ def nfkc_folded(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_fold(texts: pd.Series) -> pd.Series:
     """NFKC and case folding, for which Spark has no function.  Null stays null."""
     return texts.map(nfkc_folded, na_action="ignore")
