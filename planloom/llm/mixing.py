@@ -39,6 +39,8 @@ from planloom.llm.tables import WORD, settled, whole_text
 BROADCAST_SOURCES = 10_000
 #: Slots that one row of the first explode stands for.
 CHUNK = 4096
+#: Slots that a task makes, and the most tasks.
+TASK_SLOTS, MOST_TASKS = 65_536, 100_000
 ROUNDS = 16
 
 
@@ -84,7 +86,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: id, size, source, source_size, target and taken."""
         drawn = self.slots.groupBy("source_no", "block_no").agg(F.count(F.lit(1)).alias("times"))
-        counted = self.pieces.join(drawn, ["source_no", "block_no"], "left")
+        # the planner takes exploded rows for few; both sides grow with the input and must be shuffled
+        counted = self.pieces.join(drawn.hint("merge"), ["source_no", "block_no"], "left")
         row = ["id", "source_no", "source", "size", "source_size", "target"]
         full = counted.groupBy(*row, "start").agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
         none = self.documents.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken"))
@@ -92,7 +95,7 @@ class Mix:
 
     def contents(self) -> DataFrame:
         """The mix itself: shard, slot, document and the words of it that the slot holds."""
-        met = self.slots.join(self.pieces, ["source_no", "block_no"])
+        met = self.slots.join(self.pieces.hint("merge"), ["source_no", "block_no"])
         return met.select("shard", "slot", "source", "epoch", "block_no", "id", (F.greatest("start", "block_start") - F.col("start")).alias("first_word"), "n_words")
 
 
@@ -126,7 +129,9 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     pieces = pieces.withColumn("block_start", F.col("block_no") * block).withColumn("n_words", F.least(end, F.col("block_start") + block) - F.greatest("start", "block_start"))
 
     chunks = sources.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))))
-    chunks = chunks.repartition(F.xxhash64("source_no", "chunk"))
+    # a fixed number of tasks: the rows to be made, not the few rows that they are made from, are the work
+    all_slots = sources.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
+    chunks = chunks.repartition(max(1, min(MOST_TASKS, all_slots // TASK_SLOTS)), F.xxhash64("source_no", "chunk"))
     each = chunks.withColumn("j", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, F.col("slots")) - 1)))
     each = each.withColumn("epoch", F.floor(F.col("j") / F.col("blocks")).cast("int"))
     slot = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(seed))
