@@ -36,7 +36,7 @@ class LaneQueue:
     def put(self, keys: np.ndarray, positions: np.ndarray) -> None:
         if not len(keys):
             return
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys.astype(np.uint16), kind="stable")  # a radix sort
         keys, positions = keys[order], positions[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         for start, end in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
@@ -129,7 +129,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         after = np.full(n, -1, dtype=np.int64)
         after[: max(n - step, 0)] = rank[step:]
         key = rank * (int(rank.max(initial=0)) + 2) + after + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.cumsum(np.r_[0, key[order[1:]] != key[order[:-1]]])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
@@ -140,7 +140,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 def suffix_order(text: np.ndarray, lanes: int = 256, in_memory: int = IN_MEMORY) -> np.ndarray:
     """Start positions of all suffixes of ``text`` (integers under ``lanes``) in order."""
-    text = np.asarray(text).astype(np.int64)
+    text = np.asarray(text).astype(np.uint16)
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -175,18 +175,13 @@ def suffix_order(text: np.ndarray, lanes: int = 256, in_memory: int = IN_MEMORY)
     return _induce(text, is_s, lms, lanes, in_memory)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in order, the common prefix with the one before it, up to ``most``."""
-    n = len(text)
-    out = np.zeros(n, dtype=np.int64)
-    open_ = np.arange(1, n)
-    for j in range(most):
-        a, b = order[open_ - 1] + j, order[open_] + j
-        inside = (a < n) & (b < n)
-        open_, a, b = open_[inside], a[inside], b[inside]
-        equal = text[a] == text[b]
-        open_ = open_[equal]
-        if not len(open_):
-            break
-        out[open_] = j + 1
-    return out
+def same_prefix_as_before(data: bytes, order: np.ndarray, length: int) -> np.ndarray:
+    """For start positions in suffix order, each at least ``length`` before the end: whether
+    the first ``length`` bytes (8 or more) equal those of the position before it."""
+    words = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    same = np.zeros(len(order), dtype=bool)
+    open_ = np.arange(1, len(order))
+    for at in [*range(0, length - 8, 8), length - 8]:
+        open_ = open_[words[order[open_ - 1] + at] == words[order[open_] + at]]
+    same[open_] = True
+    return same

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.induced_sort import common_prefixes, suffix_order
+from planloom.llm.induced_sort import same_prefix_as_before, suffix_order
 from planloom.llm.tables import whole_text
 
 LENGTH, GRAM = 100, 32
@@ -70,17 +70,17 @@ def anchor_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    # the first place of the smallest hash in each window, by doubling
-    span, m, place = 1, h, np.arange(len(h), dtype=np.int32)
+    # hash and place in one number: the least is the first place of the smallest hash
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    span = 1
     while span < LONGEST_RUN:
         step = min(span, LONGEST_RUN - span)
-        right = m[step:] < m[: len(m) - step]
-        m = np.where(right, m[step:], m[: len(m) - step])
-        place = np.where(right, place[step:], place[: len(place) - step])
+        least = np.minimum(least[step:], least[: len(least) - step])
         span += step
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     sizes = np.diff(np.r_[starts, n])
-    return m[starts].view(np.int64), starts, sizes
+    return h[place[starts]].view(np.int64), starts, sizes
 
 
 def text_mark(data: bytes) -> int:
@@ -98,6 +98,19 @@ def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _occurrences(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor, content and place; which rows are the first of their content; which
+    repeat that very place, as documents do that are listed more than once."""
+    order, new = _first_of_equal(starts, marks, ids, content, anchor)
+    group = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+    begins = np.flatnonzero(np.r_[True, group][: len(order)])
+    leader = order[np.repeat(begins, np.diff(np.r_[begins, len(order)]))]
+    first, again = np.zeros((2, len(order)), dtype=bool)
+    first[order[begins]] = True
+    again[order] = (ids[order] == ids[leader]) & (marks[order] == marks[leader]) & (starts[order] == starts[leader])
+    return order, first, again & ~first
+
+
 def _spread(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """An even key for rows that need not meet others."""
     with np.errstate(over="ignore"):
@@ -119,9 +132,9 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         anchors, ids, marks, starts, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, new = _first_of_equal(anchors)
-        anchors, ids, marks, starts, sizes = anchors[order], ids[order], marks[order], starts[order], sizes[order]
-        known = ~new | np.r_[~new[1:], False]
-        key = np.where(new, anchors, _spread(ids, starts))
+        first, known = np.zeros((2, len(order)), dtype=bool)
+        first[order], known[order] = new, ~new | np.r_[~new[1:], False]
+        key = np.where(first, anchors, _spread(ids, starts))  # rows stay in the order of their documents: they compress well
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchors), pa.array(ids), pa.array(marks.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(known)], names=["key", "anchor", "id", "mark", "start", "n", "known"])
 
 
@@ -159,29 +172,30 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not anchor:
             continue
         a, c, i, m, s, n = (np.array(x, dtype=np.int64) for x in (anchor, content, ids, marks, starts, sizes))
-        order, _ = _first_of_equal(s, m, i, c, a)
-        same = (a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])
-        first = np.ones(len(a), dtype=bool)
-        first[order[1:]] = ~same
+        order, first, again = _occurrences(a, c, i, m, s)
+        kept = ~again
+        segments = [x for x, k in zip(segments, kept.tolist(), strict=True) if k]
+        a, c, i, m, s, n, first = (x[kept] for x in (a, c, i, m, s, n, first))
         key = np.where(first, a, _spread(i, s))
         # a run that is a repeat as a whole needs no text any more
         text = pa.array([x if f else None for x, f in zip(segments, first.tolist(), strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(c), pa.array(i), pa.array(m.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), text], names=["key", "anchor", "content", "id", "mark", "start", "n", "segment"])
 
 
-def _later_windows(segments: list[bytes], owners: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _later_windows(segments: list[bytes]) -> list[tuple[int, np.ndarray]]:
     """Of segments in order of their owners: (segment, offsets of windows that also start earlier)."""
-    # a separator of its own rank after each segment is not needed: a window ends within its segment
-    ends = np.cumsum([len(s) + 1 for s in segments])
-    text = np.frombuffer(b"\0".join(segments), dtype=np.uint8).astype(np.int64) + 1
-    text[ends[:-1] - 1] = 0
+    sizes = np.array([len(s) for s in segments])
+    owner = np.repeat(np.arange(len(segments)), sizes + 1)
+    ends = np.cumsum(sizes + 1)
+    data = b"\0".join(segments) + b"\0"
+    text = np.frombuffer(data, dtype=np.uint8).astype(np.uint16) + 1
+    text[ends - 1] = 0
     order = suffix_order(text, 257)
-    lcp = common_prefixes(text, order, LENGTH)
-    which = np.searchsorted(ends, order, "right")
+    which = owner[order]
     usable = ends[which] - 1 - order >= LENGTH
     order, which = order[usable], which[usable]
-    # between usable neighbours the least common prefix counts
-    group = np.cumsum(lcp < LENGTH)[usable]
+    # equal windows are neighbours now: all suffixes are in order
+    group = np.cumsum(~same_prefix_as_before(data, order, LENGTH))
     by = np.lexsort((order, group))
     order, which, group = order[by], which[by], group[by]
     later = np.r_[False, group[1:] == group[:-1]] if len(group) else np.zeros(0, dtype=bool)
@@ -189,7 +203,7 @@ def _later_windows(segments: list[bytes], owners: np.ndarray) -> list[tuple[int,
     by = np.argsort(which, kind="stable")
     order, which = order[by], which[by]
     cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else []
-    return [(int(which[s]), order[s:e] - (ends[which[s]] - 1 - len(segments[which[s]]))) for s, e in zip(cuts, np.r_[cuts[1:], len(which)].astype(int) if len(cuts) else [], strict=True)]
+    return [(int(which[s]), order[s:e] - (ends[which[s]] - 1 - sizes[which[s]])) for s, e in zip(cuts, np.r_[cuts[1:], len(which)].astype(int) if len(cuts) else [], strict=True)]
 
 
 _RANGE = "id bigint, mark int, start int, n int"
@@ -206,15 +220,16 @@ def _shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.asarray(texts.is_null())
     whole = none.copy()  # known to be repeats as a whole
     rows = np.flatnonzero(~none)
-    order = rows[np.lexsort((starts[rows], marks[rows], ids[rows], c[rows], a[rows]))]
-    same = (a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])
-    whole[order[1:][same]] = True
-    firsts = order[np.r_[True, ~same][: len(order)]]
+    order, first, again = _occurrences(a[rows], c[rows], ids[rows], marks[rows], starts[rows])
+    whole[rows] = ~first & ~again
+    firsts = rows[order[first[order]]]
     alone = np.r_[True, a[firsts][1:] != a[firsts][:-1]] & np.r_[a[firsts][1:] != a[firsts][:-1], True] if len(firsts) else np.zeros(0, dtype=bool)
     firsts = firsts[~alone]
     yield _ranges(ids[whole], marks[whole], starts[whole], sizes[whole])
 
-    groups = np.flatnonzero(np.r_[True, a[firsts][1:] != a[firsts][:-1]]) if len(firsts) else np.zeros(0, np.int64)
+    if not len(firsts):
+        return
+    groups = np.flatnonzero(np.r_[True, a[firsts][1:] != a[firsts][:-1]])
     lengths = sizes[firsts] + LENGTH
     part: list[np.ndarray] = []
     held = 0
@@ -224,7 +239,7 @@ def _shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held >= SORTED_BYTES or end == len(firsts):
             own = np.concatenate(part)
             own = own[np.lexsort((starts[own], marks[own], ids[own]))]
-            for k, offsets in _later_windows([texts[int(r)].as_py() for r in own], own):
+            for k, offsets in _later_windows([texts[int(r)].as_py() for r in own]):
                 first = np.flatnonzero(np.r_[True, np.diff(np.sort(offsets)) > 1])
                 at = np.sort(offsets)
                 size = np.diff(np.r_[first, len(at)])
@@ -259,12 +274,18 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, mark, windows): for each document with repeats, ranges of starts of repeated windows."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text_col).alias("text"))
+    rows = _rows(df, id_col, text_col)
+    return _repeated_windows(rows, _marked(rows))
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text_col).alias("text"))
+
+
+def _repeated_windows(rows: DataFrame, marked: DataFrame) -> DataFrame:
     runs = rows.mapInArrow(_runs, _RUN).repartition("key").mapInArrow(_repeated, "anchor bigint, id bigint, mark int, start int, n int")
     by_document = runs.groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
-    marked = _marked(rows)
     met = marked.join(by_document, ["id", "mark"]).select("id", "mark", "text", "runs")
-    # rows that repeat each other are one document
     segments = met.mapInArrow(_segments, _SEGMENT)
     ranges = segments.repartition("key").mapInArrow(_shard, _RANGE)
     return ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
@@ -276,7 +297,8 @@ def _marked(rows: DataFrame) -> DataFrame:
             marks = [text_mark(d) for d in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int32()), batch.column(1)], names=["id", "mark", "text"])
 
-    return rows.mapInArrow(mark, "id bigint, mark int, text string")
+    # never null, but said so: both joins then have one plan below them and share one shuffle of the texts
+    return rows.mapInArrow(mark, "id bigint, mark int, text string").where("id IS NOT NULL AND mark IS NOT NULL")
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,9 +306,9 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` are the removed runs of bytes, (start, end) with the end exclusive.
     """
-    windows = repeated_windows(df, id_col=id_col, text_col=text_col)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text_col).alias("text"))
-    met = _marked(rows).join(windows, ["id", "mark"], "left").select("id", "text", "windows")
+    rows = _rows(df, id_col, text_col)
+    marked = _marked(rows)
+    met = marked.join(_repeated_windows(rows, marked), ["id", "mark"], "left").select("id", "text", "windows")
     item = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
