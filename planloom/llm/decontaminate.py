@@ -43,8 +43,8 @@ def words(column: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, only for a table whose counted rows stay within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast hint for a table whose counted rows stay within the bound, else a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def word_hashes(w: str, k: int) -> Column:
@@ -110,10 +110,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     index = items.select("item", "item_fp", F.posexplode(blocks("item_fp", radius)).alias("block", "value"))
     probes = windows.select("id", "row_hash", "item", "first", "fp", F.posexplode(blocks("fp", radius)).alias("block", "value"))
     near = probes.join(small(index), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("id", "row_hash", "item", "first").distinct()
+    near = settled(near.select("id", "row_hash", "item", "first").distinct())
     near = near.withColumnsRenamed({"id": "near_id", "row_hash": "near_hash", "item": "near_item", "first": "near_first"})
     within = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("row_hash") == F.col("near_hash")) & (F.col("item") == F.col("near_item")) & (F.col("first") == F.col("near_first"))
-    candidates = windows.join(near, within, "left_semi").join(small(items.select("item", "item_shingles")), "item")
+    candidates = windows.join(small(near), within, "left_semi").join(small(items.select("item", "item_shingles")), "item")
     scored = candidates.withColumn("similarity", similarity("window_shingles", "item_shingles")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words"))
     return scored.groupBy("id", "row_hash", "item").agg(best.alias("b")).select("id", "row_hash", "item", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("first_word"), F.col("b.n_words").alias("n_words"))

@@ -246,7 +246,7 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
     """Rows (id, url, text, n_chars), one per page."""
     pages = df.select(F.col(id_col), F.col(url_col), F.col(html_col), F.xxhash64(id_col, url_col, html_col).alias("row_key"))
     deleted = deleted_lines(pages, html_col, url_col)
-    deleted = F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted
+    deleted = F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted.hint("merge")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
