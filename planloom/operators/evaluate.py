@@ -12,10 +12,10 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planloom.plans.errors import Rejected
 from planloom.plans.logical import LogicalQuery, from_struct
@@ -132,11 +132,7 @@ def score(df: DataFrame, *, gold: str = "sql", prediction: str = "prediction", h
     width, names = len(df.columns), df.columns
     plan_at = names.index("query_plan") if has_plan else None
     gold_at, prediction_at = names.index(gold), names.index(prediction)
-    schema = df.schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    for f in _parse_datatype_string(added):
-        schema = schema.add(f)
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
     components = pa.struct([(c, pa.int32()) for c in (*COMPONENTS, "plan_match")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,18 +304,22 @@ def oracle_predictions(df: DataFrame, *, predicted: str = "predicted_plan", gold
     names = [*VARIANTS, "operations", "literals"]
     spread = df.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
 
-    def patch(variant: pd.Series, own: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-        def one(v, a, b):
-            try:
-                plan, want = from_struct(a), from_struct(b)
-                patched = with_operations(plan, want) if v == "operations" else with_literals(plan, want) if v == "literals" else with_schema_links(plan, want, v)
-                return render(patched.checked())
-            except (Rejected, TypeError, KeyError):
-                return None
+    at = [spread.columns.index(c) for c in ("variant", predicted, gold)]
+
+    def patched(variant: str, own: dict | None, right: dict | None) -> str | None:
+        try:
+            plan, want = from_struct(own), from_struct(right)
+            new = with_operations(plan, want) if variant == "operations" else with_literals(plan, want) if variant == "literals" else with_schema_links(plan, want, variant)
+            return render(new.checked())
+        except (Rejected, TypeError, KeyError):
+            return None
 
-        return pd.Series([one(v, a, b) for v, a, b in zip(variant, own.to_dict("records"), right.to_dict("records"), strict=True)])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sql = [patched(*x) for x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sql, pa.string())], names=[*batch.schema.names, "prediction"])
 
-    return spread.withColumn("prediction", F.pandas_udf(patch, "string")("variant", predicted, gold))
+    return spread.mapInArrow(run, T.StructType([*spread.schema.fields, T.StructField("prediction", T.StringType())]))
 
 
 def rescue_ceiling(df: DataFrame, own: str, corrected: str) -> DataFrame:
