@@ -1,18 +1,24 @@
 """SimHash near-duplicates: a self-join of binary tries.
 
 A fingerprint has 64 bits, each the majority of that bit over the XXH64 hashes of
-a text's 3-word shingles.  Two fingerprints link at ``RADIUS`` (3) or fewer
-differing bits.  The join walks pairs of trie nodes from the root, adds a bit to a
-pair's error whenever it takes different branches, and prunes the pair once the
-error exceeds the budget for its depth.  Of two halves of 32 bits one has at most
-one error, so the fingerprints are joined twice, as they are and with halves
-exchanged, each time with a budget of 1 for the first 32 bits and 3 in all;
-together both walks find every link.
+a text's 3-word shingles.  Two fingerprints link at ``radius`` or fewer differing
+bits.  The join walks pairs of trie nodes from the root, adds a bit to a pair's
+error whenever it takes different branches, and prunes the pair once the error
+exceeds the budget for its depth.
+
+*Budgets.*  Cut the ring of 64 bits into m blocks.  If two fingerprints differ in at
+most R bits, one rotation has at most l * R / m errors in its first l blocks, for
+every l.  So the tries of all m rotations are walked with these budgets, and together
+the walks find every link.  ``CLOSE`` (R = 3, two blocks) gives 1 error in the first
+32 bits and 3 in all; ``WIDE`` (R = 11, eight blocks) serves near copies down to a
+similarity of 0.8, which differ in more bits; its links beyond 3 bits are verified
+by the exact similarity of 5-word shingles.
 
 *Distribution.*  The upper trie is cut into nodes of bounded count (a node with too
 many fingerprints is replaced by its children 4 bits further down).  A fingerprint
-belongs to its own node and visits the nodes one error away, from the lower to the
-higher of each pair, so every pair of fingerprints meets in one task.  The counts
+belongs to its own node and visits the nodes one error away (cuts stay at depths
+with a budget of 1), from the lower to the higher of each pair, so every pair of
+fingerprints meets in one task.  The counts
 that place the cut are the only thing the driver sees, at most ``PARTS`` per level.
 
 *Hot groups.*  Equal fingerprints are one fingerprint.  Within a task, pairs of
@@ -29,6 +35,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +46,40 @@ from pyspark.sql import functions as F
 from planloom.llm.components import components
 from planloom.llm.tables import settled, whole_text
 
-RADIUS, HALF_RADIUS = 3, 1
 SHINGLE, SEED = 3, 42
-#: Depths at which the trie may be cut; the cut aims at PARTS nodes of LEAST fingerprints or more.
-DEPTHS = (8, 12, 16, 20, 24, 28, 32)
+#: The cut aims at PARTS nodes of LEAST fingerprints or more.
 PARTS, LEAST = 4096, 256
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Radius, blocks of the ring, and the depths at which the trie may be cut."""
+
+    radius: int
+    blocks: int
+    depths: tuple[int, ...]
+
+    def __post_init__(self):
+        if self.budget(self.depths[-1] - 1) > 1:
+            raise ValueError("a cut needs a budget of one error or none")
+
+    def budget(self, depth: int) -> int:
+        """Errors that a pair may have after the bit at this depth."""
+        return (depth * self.blocks // 64 + 1) * self.radius // self.blocks
+
+    def turned(self, fps: np.ndarray, turn: int | np.ndarray, back: bool = False) -> np.ndarray:
+        """Rotated to the left (or back) by so many blocks."""
+        left = (np.asarray(turn) * (64 // self.blocks)).astype(np.uint64)
+        left = (np.uint64(64) - left) % np.uint64(64) if back else left
+        return (fps << left) | np.where(left > 0, fps >> ((np.uint64(64) - left) % np.uint64(64)), np.uint64(0))
+
+
+CLOSE = Shape(3, 2, (8, 12, 16, 20, 24, 28, 32))
+WIDE = Shape(11, 8, (8,))
+#: Exact similarity that links of WIDE beyond the radius of CLOSE must have, over shingles of so many words.
+SIMILAR, SIMILAR_WORDS = 0.8, 5
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 500_000
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once.
 FEW_LEAVES, WALKED = 64, 1 << 18
 
@@ -86,12 +122,13 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 class Cut:
     """Which nodes of the trie are divided further: sorted prefixes by (turn, depth)."""
 
-    def __init__(self, heavy: dict[tuple[int, int], np.ndarray]):
-        self.heavy = heavy
+    def __init__(self, heavy: dict[tuple[int, int], np.ndarray], shape: Shape = CLOSE):
+        self.heavy, self.shape = heavy, shape
 
     def depth(self, fps: np.ndarray, turn: int) -> np.ndarray:
-        out = np.full(len(fps), DEPTHS[0], dtype=np.int64)
-        for depth, further in zip(DEPTHS, DEPTHS[1:], strict=False):
+        depths = self.shape.depths
+        out = np.full(len(fps), depths[0], dtype=np.int64)
+        for depth, further in zip(depths, depths[1:], strict=False):
             heavy = self.heavy.get((turn, depth))
             if heavy is None or not len(heavy):
                 break
@@ -104,36 +141,35 @@ class Cut:
         return (np.int64(turn) << np.int64(44)) + (depth << 36) + prefix, depth
 
 
-def turned(fps: np.ndarray) -> np.ndarray:
-    return (fps << np.uint64(32)) | (fps >> np.uint64(32))
-
-
-def place_cut(distinct: DataFrame) -> Cut:
+def place_cut(distinct: DataFrame, shape: Shape = CLOSE) -> Cut:
     """Count downwards from the top, following only the nodes that hold too many."""
     n = distinct.count()
     most = max(LEAST, n // PARTS)
-    exchanged = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
-    rows = distinct.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("fp")), F.struct(F.lit(1).alias("turn"), exchanged.alias("fp")))).alias("x")).select("x.*")
+    if len(shape.depths) == 1:
+        return Cut({}, shape)
+    step = 64 // shape.blocks
+    rotations = [F.struct(F.lit(t).alias("turn"), (F.shiftleft("fp", t * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * step)) if t else F.col("fp")).alias("fp")) for t in range(shape.blocks)]
+    rows = distinct.select(F.explode(F.array(*rotations)).alias("x")).select("x.*")
     heavy: dict[tuple[int, int], np.ndarray] = {}
-    for depth in DEPTHS[:-1]:
+    for depth in shape.depths[:-1]:
         counts = rows.groupBy("turn", F.shiftrightunsigned("fp", 64 - depth).alias("prefix")).count().where(F.col("count") > most)
-        found = counts.select("turn", "prefix").collect()  # at most 2 * PARTS rows
+        found = counts.select("turn", "prefix").collect()  # at most PARTS rows for each rotation
         if not found:
             break
-        for turn in (0, 1):
+        for turn in range(shape.blocks):
             heavy[turn, depth] = np.array(sorted(r["prefix"] for r in found if r["turn"] == turn), dtype=np.uint64)
         kept = distinct.sparkSession.createDataFrame([(r["turn"], r["prefix"]) for r in found], "t int, p bigint")
         rows = rows.join(F.broadcast(kept), (F.col("turn") == F.col("t")) & (F.shiftrightunsigned("fp", 64 - depth) == F.col("p")), "left_semi")
-    return Cut(heavy)
+    return Cut(heavy, shape)
 
 
 def dealt(fps: np.ndarray, ids: np.ndarray, cut: Cut) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(node, fingerprint, id, at home) for the own node and the higher nodes one error away."""
-    for turn in (0, 1):
-        own = fps if turn == 0 else turned(fps)
+    for turn in range(cut.shape.blocks):
+        own = cut.shape.turned(fps, turn)
         home, _ = cut.node(own, turn)
         yield home, own, ids, np.ones(len(own), dtype=bool)
-        for bit in range(32):
+        for bit in range(cut.shape.depths[-1] if cut.shape.budget(cut.shape.depths[-1] - 1) else 0):
             near, depth = cut.node(own ^ np.uint64(1 << (63 - bit)), turn)
             goes = (bit < depth) & (near > home)
             if goes.any():
@@ -149,15 +185,17 @@ class Forest:
     def __init__(self, n: int):
         self.parent = np.arange(n)
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> bool:
-        changed = False
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join the pairs; places of the pairs that joined two trees, one for each joining."""
+        used = []
         while True:
             x, y = self.parent[a], self.parent[b]
-            apart = x != y
-            if not apart.any():
-                return changed
-            changed = True
-            np.minimum.at(self.parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                return np.concatenate(used) if used else apart
+            high, pair = np.unique(np.maximum(x, y)[apart], return_index=True)
+            self.parent[high] = np.minimum(x, y)[apart][pair]
+            used.append(apart[pair])
             while True:
                 up = self.parent[self.parent]
                 if np.array_equal(up, self.parent):
@@ -165,15 +203,14 @@ class Forest:
                 self.parent = up
 
 
-def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links of one task as a spanning forest: places of members and of their roots."""
+def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, shape: Shape = CLOSE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of one task: places of linked pairs."""
     order = np.lexsort((fps, ~home, node))
     node, fps, home = node[order], fps[order], home[order]
     n = len(fps)
-    _, which = np.unique(np.where(node >> 44 == 1, turned(fps), fps), return_inverse=True)
-    place = np.full(which.max(initial=-1) + 1, n, dtype=np.int64)
-    np.minimum.at(place, which, np.arange(n))
-    forest = Forest(len(place))
+    _, which = np.unique(shape.turned(fps, node >> 44, back=True), return_inverse=True)
+    forest = Forest(int(which.max(initial=-1)) + 1)
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
     starts = np.flatnonzero(np.r_[n > 0, np.diff(node) != 0]) if n else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], n].astype(np.int64) if n else starts
     homes = np.r_[0, np.cumsum(home)]
@@ -199,8 +236,10 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarra
             a, b, errors = a[~joined], b[~joined], errors[~joined]
         few = (a[:, 1] - a[:, 0]) * (b[:, 1] - b[:, 0]) <= FEW_LEAVES if depth < 64 else np.ones(len(a), dtype=bool)
         if few.any():
-            x, y = _close(fps, a[few], b[few])
-            if len(x) and forest.link(which[x], which[y]):
+            x, y = _close(fps, a[few], b[few], shape.radius)
+            used = forest.link(which[x], which[y])
+            if len(used):
+                edges.append((x[used], y[used]))
                 changes = None
         a, b, errors = a[~few], b[~few], errors[~few]
         if not len(a):
@@ -211,8 +250,7 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarra
         cut_a, cut_b = a[:, 1] - count[a[:, 1]] + count[a[:, 0]], b[:, 1] - count[b[:, 1]] + count[b[:, 0]]
         zero_a, one_a = np.stack([a[:, 0], cut_a], 1), np.stack([cut_a, a[:, 1]], 1)
         zero_b, one_b = np.stack([b[:, 0], cut_b], 1), np.stack([cut_b, b[:, 1]], 1)
-        budget = HALF_RADIUS if depth < 32 else RADIUS
-        other, same = errors + 1 <= budget, a[:, 0] == b[:, 0]
+        other, same = errors + 1 <= shape.budget(depth), a[:, 0] == b[:, 0]
         back = other & ~same  # of a node with itself, one order is enough
         far = (np.r_[zero_a[other], one_a[back]], np.r_[one_b[other], zero_b[back]], np.r_[errors[other], errors[back]] + 1)
         near = (np.r_[zero_a, one_a], np.r_[zero_b, one_b], np.r_[errors, errors])
@@ -220,25 +258,24 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarra
             full = (x[:, 1] > x[:, 0]) & (y[:, 1] > y[:, 0])
             if full.any():
                 stack.append((depth + 1, x[full], y[full], e[full]))
-    members = np.flatnonzero(forest.parent != np.arange(len(place)))
-    return order[place[members]], order[place[forest.parent[members]]]
+    none = np.zeros(0, dtype=np.int64)
+    return order[np.concatenate([none, *(x for x, _ in edges)])], order[np.concatenate([none, *(y for _, y in edges)])]
 
 
-def _close(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _close(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of all pairs of leaves under these pairs of nodes that link."""
     wide = b[:, 1] - b[:, 0]
     pairs = (a[:, 1] - a[:, 0]) * wide
     which = np.repeat(np.arange(len(a)), pairs)
     at = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
     x, y = a[which, 0] + at // wide[which], b[which, 0] + at % wide[which]
-    differ = fps[x] ^ fps[y]
-    linked = (np.bitwise_count(differ >> np.uint64(32)) <= HALF_RADIUS) & (np.bitwise_count(differ) <= RADIUS) & (x != y)
+    linked = (np.bitwise_count(fps[x] ^ fps[y]) <= radius) & (x != y)
     return x[linked], y[linked]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Spanning edges (u, v) between ids of ``distinct`` (fp, id) whose fingerprints link."""
-    cut = place_cut(distinct)
+def links(distinct: DataFrame, shape: Shape = CLOSE) -> DataFrame:
+    """Spanning edges (u, v, bits) between ids of ``distinct`` (fp, id) whose fingerprints link."""
+    cut = place_cut(distinct, shape)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,24 +287,48 @@ def links(distinct: DataFrame) -> DataFrame:
         met = list(batches)
         if met:
             node, fps, ids, home = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in met]) for i in range(4))
-            u, v = walk(node, fps.view(np.uint64), home.astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+            fps = fps.view(np.uint64)
+            u, v = walk(node, fps, home.astype(bool), shape)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(np.bitwise_count(fps[u] ^ fps[v]).astype(np.int32))], names=["u", "v", "bits"])
 
     rows = distinct.select("fp", "id").mapInArrow(deal, "node bigint, fp bigint, id bigint, home boolean")
-    return rows.repartition("node").mapInArrow(join, "u bigint, v bigint")
-
-
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return rows.repartition("node").mapInArrow(join, "u bigint, v bigint, bits int")
+
+
+def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges within the close radius, and those whose texts (id, text) have the similarity.
+
+    Each side's set of shingle hashes joins by id; only documents with an edge to
+    verify are cut into shingles.
+    """
+    edges = settled(edges.distinct())
+    sure, doubtful = edges.where(F.col("bits") <= CLOSE.radius), edges.where(F.col("bits") > CLOSE.radius).select("u", "v").distinct()
+    asked = settled(doubtful.select(F.explode(F.array("u", "v")).alias("of")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge")
+    found = texts.join(asked, F.col("id") == F.col("of"), "left_semi").withColumn("w", F.split(F.lower(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))), " "))
+    run = ", ".join(f"get(w, i + {j})" for j in range(SIMILAR_WORDS))
+    sets = F.expr(f"CASE WHEN size(w) < {SIMILAR_WORDS} THEN array(xxhash64(w)) ELSE array_distinct(transform(sequence(0, size(w) - {SIMILAR_WORDS}), i -> xxhash64({run}))) END")
+    sets = settled(found.select("id", sets.alias("s")).dropDuplicates(["id"]))
+    left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
+    met = doubtful.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    near = met.where(F.col("shared") >= SIMILAR * (F.size("a") + F.size("b") - F.col("shared")))
+    return sure.select("u", "v").unionByName(near.select("u", "v"))
+
+
+def near_duplicates(df: DataFrame, shape: Shape = CLOSE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component): every row, its fingerprint and the least id it can reach."""
     rows = settled(fingerprints(df, id_col=id_col, text_col=text_col))
     distinct = settled(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")))
-    labels = components(links(distinct))
+    edges = links(distinct, shape)
+    if shape.radius > CLOSE.radius:
+        edges = verified(edges, df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")))
+    labels = components(edges.select("u", "v"))
     known = distinct.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
     return rows.join(settled(known), "fp", "left").select("id", "fp", "component").withColumnRenamed("id", id_col)
 
 
-def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, shape: Shape = WIDE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that with the least id.  Rows without an id stay."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col)
+    found = near_duplicates(df, shape, id_col=id_col, text_col=text_col)
     kept = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
     return df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))

@@ -78,41 +78,59 @@ def test_near_duplicates(spark):
     fps = [brute_fingerprint(t) for t in texts]
     want = brute_components(ids, fps)
     assert found == {i: (f, want[i, f]) for i, f in zip(ids, fps, strict=True)}
-    kept = simhash_dedup.keep_first(frame(spark, [*texts, None], [*ids, None]))
+    kept = simhash_dedup.keep_first(frame(spark, [*texts, None], [*ids, None]), simhash_dedup.CLOSE)
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values())) and kept.where("doc_id IS NULL").count() == 1
     assert simhash_dedup.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_trie_walk_finds_every_link(seed):
+    shape = simhash_dedup.CLOSE if seed < 4 else simhash_dedup.WIDE
     rng = np.random.default_rng(seed)
     fps = []
     for base in rng.integers(0, 2**64, 30, dtype=np.uint64):
         for _ in range(rng.integers(1, 40)):
             x = int(base)
-            for _ in range(rng.integers(0, 5)):
+            for _ in range(rng.integers(0, 5 if seed < 4 else 16)):
                 x ^= 1 << int(rng.integers(0, 64))
             fps.append(x)
     fps = np.unique(np.array(fps, dtype=np.uint64))
     heavy = {}
     if seed % 2:
-        for turn in (0, 1):
-            own = fps if turn == 0 else simhash_dedup.turned(fps)
+        for turn in range(shape.blocks):
+            own = shape.turned(fps, turn)
+            assert np.array_equal(shape.turned(own, turn, back=True), fps)
             inside = np.ones(len(own), dtype=bool)
-            for depth in simhash_dedup.DEPTHS[:-1]:
+            for depth in shape.depths[:-1]:
                 values, n = np.unique(own[inside] >> np.uint64(64 - depth), return_counts=True)
                 heavy[turn, depth] = values[n > 3]
                 inside &= np.isin(own >> np.uint64(64 - depth), heavy[turn, depth])
-    parts = [np.concatenate(x) for x in zip(*simhash_dedup.dealt(fps, np.arange(len(fps)), simhash_dedup.Cut(heavy)), strict=True)]
+    parts = [np.concatenate(x) for x in zip(*simhash_dedup.dealt(fps, np.arange(len(fps)), simhash_dedup.Cut(heavy, shape)), strict=True)]
     found, brute = simhash_dedup.Forest(len(fps)), simhash_dedup.Forest(len(fps))
     for task in range(5):
         own = parts[0] % 5 == task
-        u, v = simhash_dedup.walk(parts[0][own], parts[1][own], parts[3][own])
-        found.link(parts[2][own][u], parts[2][own][v])
-    brute.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
+        u, v = (parts[2][own][x] for x in simhash_dedup.walk(parts[0][own], parts[1][own], parts[3][own], shape))
+        assert (np.bitwise_count(fps[u] ^ fps[v]) <= shape.radius).all()
+        found.link(u, v)
+    brute.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= shape.radius))
     assert np.array_equal(found.parent, brute.parent)
 
 
+def test_near_copies_down_to_the_similarity(spark):
+    base = [prose(40 + i, 150) for i in range(6)]
+    copies = []
+    for i, text in enumerate(base):
+        for k in range(1, 4):
+            w = text.split()
+            for j in range(k):
+                w[15 + 30 * j] = "edited"
+            copies.append(" ".join(w))
+    other = [prose(400 + i, 120) for i in range(60)]
+    texts = base + copies + other
+    kept = sorted(r["doc_id"] for r in simhash_dedup.keep_first(frame(spark, texts)).collect())
+    assert kept == [*range(6), *range(24, 84)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
