@@ -8,21 +8,21 @@ All equal strings must meet, without shipping every suffix:
 1. *Anchors.*  Every window of LENGTH bytes has an anchor, the first smallest hash
    among its runs of ``GRAM`` bytes.  Equal windows have equal anchors at equal
    places; neighbouring windows mostly share theirs and form a run, in which no
-   window occurs twice.  One row per run goes through a
-   shuffle by anchor, and only anchors that occur more than once go on.
-2. *Segments.*  The runs of repeated anchors return to their documents and become
-   segments of text, at most ``2 * LENGTH`` bytes or so.
-3. *Shards.*  Segments are dealt by anchor.  Of equal segments all but the first
-   are repeats as a whole.  The segments of an anchor that has several are joined into one text per shard part, whose suffixes
+   window occurs twice.  One row per run, with a hash of its bytes, goes through a
+   shuffle by anchor.  Of equal runs all but the first are repeats as a whole.
+2. *Segments.*  Only the first runs of anchors that have several contents need
+   their text: they return to their documents and become segments of at most
+   ``2 * LENGTH`` bytes or so.
+3. *Shards.*  Segments are dealt by anchor and joined into texts, whose suffixes
    are sorted by induction (``induced_sort``); neighbours in that order with a
    common prefix of LENGTH or more are equal windows, and all but the first of
    them are repeats.
 4. The repeated windows of a document are united and its remaining bytes hashed.
 
-*Hot groups.*  Before either shuffle, a task combines its rows: of equal anchors
-(or segments) in a batch of documents one row represents the batch, and the others
-go on directly, dealt evenly.  So a passage in a third of all documents gives
-one row per batch, not per document.
+*Hot groups.*  Before the shuffle by anchor, a task combines its rows: of equal runs
+in a batch of documents one represents the batch, and the others go on directly,
+dealt evenly.  So a passage in a third of all documents gives one row per batch,
+not per document.
 
 Defined cases: a null text is empty; documents under LENGTH bytes lose nothing;
 documents with equal ids are ordered by a hash of their texts, and rows equal
@@ -87,27 +87,16 @@ def text_mark(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) >> 33
 
 
-def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order by keys (last is the main one), and which rows in it begin a new value of all keys."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for key in keys:
-        sorted_ = key[order]
-        new[1:] |= sorted_[1:] != sorted_[:-1]
-    return order, new
-
-
-def _occurrences(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _occurrences(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by anchor, content and place; which rows are the first of their content; which
     repeat that very place, as documents do that are listed more than once."""
-    order, new = _first_of_equal(starts, marks, ids, content, anchor)
+    order = np.lexsort((places, ids, content, anchor))
     group = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
     begins = np.flatnonzero(np.r_[True, group][: len(order)])
     leader = order[np.repeat(begins, np.diff(np.r_[begins, len(order)]))]
     first, again = np.zeros((2, len(order)), dtype=bool)
     first[order[begins]] = True
-    again[order] = (ids[order] == ids[leader]) & (marks[order] == marks[leader]) & (starts[order] == starts[leader])
+    again[order] = (ids[order] == ids[leader]) & (places[order] == places[leader])
     return order, first, again & ~first
 
 
@@ -118,68 +107,72 @@ def _spread(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-_RUN = "key bigint, anchor bigint, id bigint, mark int, start int, n int, known boolean"
+#: ``place`` is the document's mark and the start of the run; n < 0: windows known to be repeats.
+_RUN = "key bigint, content bigint, id bigint, place bigint, n int"
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of windows, equal runs of one batch but once."""
     for batch in batches:
-        parts = []
+        parts, content = [], []
         for i, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             anchors, starts, sizes = anchor_runs(data)
             if len(anchors):
-                parts.append((anchors, np.full(len(anchors), i), np.full(len(anchors), text_mark(data)), starts, sizes))
+                parts.append((anchors, np.full(len(anchors), i), (text_mark(data) << 32) + starts, sizes))
+                content += [xxhash.xxh64_intdigest(data[s:e]) - (1 << 63) for s, e in zip(starts.tolist(), (starts + sizes + LENGTH - 1).tolist(), strict=True)]
         if not parts:
             continue
-        anchors, ids, marks, starts, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new = _first_of_equal(anchors)
-        first, known = np.zeros((2, len(order)), dtype=bool)
-        first[order], known[order] = new, ~new | np.r_[~new[1:], False]
-        key = np.where(first, anchors, _spread(ids, starts))  # rows stay in the order of their documents: they compress well
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchors), pa.array(ids), pa.array(marks.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(known)], names=["key", "anchor", "id", "mark", "start", "n", "known"])
+        anchors, ids, places, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        contents = np.array(content, dtype=np.int64)
+        _, first, again = _occurrences(anchors, contents, ids, places)
+        key, n = np.where(first, anchors, _spread(ids, places)), np.where(first, sizes, -sizes)
+        # rows stay in the order of their documents: they compress well
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[~again]) for x in (key, np.where(first, contents, 0), ids, places)), pa.array(n[~again].astype(np.int32))], names=["key", "content", "id", "place", "n"])
+
 
+_CLASSIFIED = "id bigint, mark int, anchor bigint, start int, n int"
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if met is None or not len(met):
+
+def _classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that are repeats as a whole (n < 0), and the first run of each content of the anchors
+    that have several contents; all others hold no repeat."""
+    batches = list(batches)
+    if not batches:
         return
-    anchor = met.column("anchor").to_numpy()
-    order, new = _first_of_equal(anchor)
-    several = ~new | np.r_[~new[1:], False]
-    keep = np.zeros(len(anchor), dtype=bool)
-    keep[order] = several
-    keep |= met.column("known").to_numpy()
-    kept = met.filter(pa.array(keep)).select(["anchor", "id", "mark", "start", "n"])
-    yield from kept.combine_chunks().to_batches()
+    met = pa.Table.from_batches(batches)
+    key, content, ids, places, n = (met.column(c).to_numpy() for c in ("key", "content", "id", "place", "n"))
+    asks = np.flatnonzero(n > 0)
+    order, first, again = _occurrences(key[asks], content[asks], ids[asks], places[asks])
+    firsts = asks[order[first[order]]]
+    differs = key[firsts][1:] != key[firsts][:-1]
+    several = firsts[~(np.r_[True, differs] & np.r_[differs, True])] if len(firsts) else firsts
+    whole = np.r_[asks[~first & ~again], np.flatnonzero(n < 0)]
+    kept = np.r_[several, whole]
+    sizes = np.r_[n[several], -np.abs(n[whole])].astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array((places[kept] >> 32).astype(np.int32)), pa.array(np.where(sizes > 0, key[kept], 0)), pa.array((places[kept] & 0xFFFFFFFF).astype(np.int32)), pa.array(sizes)], names=["id", "mark", "anchor", "start", "n"])
 
 
-_SEGMENT = "key bigint, anchor bigint, content bigint, id bigint, mark int, start int, n int, segment binary"
+_SEGMENT = "key bigint, id bigint, mark int, start int, n int, segment binary"
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the runs that need it; runs that are repeats as a whole, united, without text."""
     for batch in batches:
-        anchor, content, ids, marks, starts, sizes, segments = [], [], [], [], [], [], []
+        rows: list[tuple] = []
         for i, mark, data, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            for run in runs:
+            united: list[list[int]] = []
+            for run in sorted(runs, key=lambda r: r["start"]):
                 at, n = run["start"], run["n"]
-                segment = data[at : at + n + LENGTH - 1]
-                anchor.append(run["anchor"])
-                content.append(xxhash.xxh64_intdigest(segment) - (1 << 63))
-                ids.append(i)
-                marks.append(mark)
-                starts.append(at)
-                sizes.append(n)
-                segments.append(segment)
-        if not anchor:
-            continue
-        a, c, i, m, s, n = (np.array(x, dtype=np.int64) for x in (anchor, content, ids, marks, starts, sizes))
-        order, first, again = _occurrences(a, c, i, m, s)
-        kept = ~again
-        segments = [x for x, k in zip(segments, kept.tolist(), strict=True) if k]
-        a, c, i, m, s, n, first = (x[kept] for x in (a, c, i, m, s, n, first))
-        key = np.where(first, a, _spread(i, s))
-        # a run that is a repeat as a whole needs no text any more
-        text = pa.array([x if f else None for x, f in zip(segments, first.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(c), pa.array(i), pa.array(m.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), text], names=["key", "anchor", "content", "id", "mark", "start", "n", "segment"])
+                if n > 0:
+                    rows.append((run["anchor"], i, mark, at, n, data[at : at + n + LENGTH - 1]))
+                elif united and at <= united[-1][1]:
+                    united[-1][1] = max(united[-1][1], at - n)
+                else:
+                    united.append([at, at - n])
+            rows += [(i ^ (start << 20), i, mark, start, end - start, None) for start, end in united]
+        if rows:
+            key, ids, marks, starts, sizes, texts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["key", "id", "mark", "start", "n", "segment"])
 
 
 def _later_windows(segments: list[bytes]) -> list[tuple[int, np.ndarray]]:
@@ -211,22 +204,19 @@ _RANGE = "id bigint, mark int, start int, n int"
 
 def _shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows as ranges of starts."""
-    met = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if met is None or not len(met):
+    batches = list(batches)
+    if not batches:
         return
-    a, c, ids, marks, starts, sizes = (met.column(x).to_numpy().astype(np.int64) for x in ("anchor", "content", "id", "mark", "start", "n"))
+    met = pa.Table.from_batches(batches)
+    a, ids, marks, starts, sizes = (met.column(x).to_numpy().astype(np.int64) for x in ("key", "id", "mark", "start", "n"))
     texts = met.column("segment").combine_chunks()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    none = np.asarray(texts.is_null())
-    whole = none.copy()  # known to be repeats as a whole
-    rows = np.flatnonzero(~none)
-    order, first, again = _occurrences(a[rows], c[rows], ids[rows], marks[rows], starts[rows])
-    whole[rows] = ~first & ~again
-    firsts = rows[order[first[order]]]
-    alone = np.r_[True, a[firsts][1:] != a[firsts][:-1]] & np.r_[a[firsts][1:] != a[firsts][:-1], True] if len(firsts) else np.zeros(0, dtype=bool)
-    firsts = firsts[~alone]
+    whole = np.asarray(texts.is_null())
     yield _ranges(ids[whole], marks[whole], starts[whole], sizes[whole])
-
+    rows = np.flatnonzero(~whole)
+    firsts = rows[np.lexsort((starts[rows], marks[rows], ids[rows], a[rows]))]
+    repeats = np.logical_and.reduce([x[firsts][1:] == x[firsts][:-1] for x in (a, ids, marks, starts)])
+    firsts = firsts[np.r_[True, ~repeats][: len(firsts)]]  # of documents that are listed more than once
     if not len(firsts):
         return
     groups = np.flatnonzero(np.r_[True, a[firsts][1:] != a[firsts][:-1]])
@@ -283,7 +273,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeated_windows(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    runs = rows.mapInArrow(_runs, _RUN).repartition("key").mapInArrow(_repeated, "anchor bigint, id bigint, mark int, start int, n int")
+    runs = rows.mapInArrow(_runs, _RUN).repartition("key").mapInArrow(_classify, _CLASSIFIED)
     by_document = runs.groupBy("id", "mark").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     met = marked.join(by_document, ["id", "mark"]).select("id", "mark", "text", "runs")
     segments = met.mapInArrow(_segments, _SEGMENT)
