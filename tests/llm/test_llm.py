@@ -8,20 +8,12 @@ import re
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from planloom.llm import chat_format, decontaminate, html_extract, language_id, mixing, queries, secret_scan, simhash_dedup, substring_dedup, token_counts, topk_search
 from planloom.llm.components import components
 from planloom.llm.induced_sort import suffix_order
-
-WORDS = "alder birch cedar dogwood elm fir gum hazel ivy juniper kapok larch maple nutmeg oak pine quince rowan spruce teak".split()
-
-
-def prose(seed, n):
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + rng.choice(("", "s", "y", "en")) for _ in range(n))
-
+from tests_llm_helpers import brute_components, brute_fingerprint, prose
 
 def frame(spark, texts, ids=None, **extra):
     """Documents with clashing and extra columns."""
@@ -50,25 +42,6 @@ def test_one_query_for_each_operator():
 # --- 1 ---
 
 
-def brute_fingerprint(text):
-    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    h = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(ids, fps):
-    parent = list(range(len(fps)))
-    for _ in fps:
-        for i in range(len(fps)):
-            for j in range(len(fps)):
-                if (fps[i] ^ fps[j]).bit_count() <= 3:
-                    low = min(parent[i], parent[j])
-                    parent[i] = parent[j] = low
-    return {(i, f): ids[p] for i, f, p in zip(ids, fps, parent, strict=True)}
-
-
 def test_near_duplicates(spark):
     base = prose(3, 60)
     texts = [*AWKWARD, base, base, base.upper(), base.replace("oak", "elm", 1), prose(4, 60)]
