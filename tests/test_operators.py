@@ -185,3 +185,23 @@ def test_generated_corpora(spark):
         except Rejected:
             pass
     assert good >= len(a) * 0.7
+
+
+def test_builders(spark):
+    from planloom.operators import builders
+
+    corpus = generate.corpus(spark, 6, 10, 4).withColumn("pos", F.row_number().over(__import__("pyspark").sql.Window.orderBy("id")).cast("long"))
+    own, other = corpus.where("pos <= 30"), corpus.where("pos > 30")
+    frozen = own.where("pos <= 5")
+    built = builders.curriculum({"a": own, "b": other}, {"a": 1, "b": 3}, 24, frozen, 2)
+    assert {r["mix_source"]: r["n"] for r in built.report["sources"].collect()} == {"a": 6, "b": 18} and built.report["duplicates"].first()["duplicates"] == 0
+    assert sum(r["n"] for r in built.log.collect()) >= 5
+    wrong = own.limit(3).withColumn("sql", F.lit("SELECT 1")).withColumn("pos", F.col("pos") + 1000)
+    mixed = builders.replay(own, other.unionByName(wrong), 2, 1)
+    assert mixed.records.count() == 90 and mixed.log.first()["n"] == 3 and mixed.report["conflicts"].isEmpty()
+    gate = builders.gate(spark, "casual", 3, 5, 77, corpus)
+    assert gate.count() == 15 and gate.first()["evaluation_track"] == "casual"
+    pairs = builders.contrast_gate(spark, 3, 5)
+    assert all(r["count"] == 2 for r in pairs.groupBy("counterfactual_group").count().collect())
+    with pytest.raises(Rejected, match="unknown_gate"):
+        builders.gate(spark, "none", 1, 1, 1)
