@@ -10,7 +10,6 @@ from __future__ import annotations
 import sqlite3
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -326,7 +325,3 @@ def rescue_ceiling(df: DataFrame, own: str, corrected: str) -> DataFrame:
     """Accuracy if a correction is kept only where it makes a wrong result right."""
     best = F.greatest(own, corrected)
     return df.agg(F.avg(own).alias("own_accuracy"), F.avg(best).alias("ceiling"), F.count_if(best > F.col(own)).alias("rescued"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

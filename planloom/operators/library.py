@@ -41,7 +41,6 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     runs = (F.col("n_chars").between(200, 6000)).cast("int")
     right = ((F.col("quality") == 1) & (runs == 1)).cast("int")
     rows = docs.select("doc_id", "lang", "source", "toxic", valid.alias("syntactically_valid"), runs.alias("executable"), (right * (1 - F.col("toxic"))).cast("int").alias("exact_match"), right.alias("execution_accuracy"))
-    failure = F.when(valid == 0, evaluate.FAILURES[0])
     failure = F.when(F.col("syntactically_valid") == 0, evaluate.FAILURES[0]).when(F.col("executable") == 0, evaluate.FAILURES[1]).when(F.col("execution_accuracy") == 0, evaluate.FAILURES[2]).otherwise(evaluate.FAILURES[3])
     track = F.when(F.pmod("doc_id", F.lit(2)) == 0, "direct_identifier").otherwise("semantic_paraphrase")
     half = F.floor(F.col("doc_id") / 2).cast("long")

@@ -122,9 +122,6 @@ def zip_json(path: str, member: str):
         return json.loads(archive.read(member))
 
 
-_SQLITE_TYPES = {"text": T.StringType(), "numeric": T.DoubleType(), "other": T.StringType()}
-
-
 def _spark_type(declared: str) -> T.DataType:
     upper = declared.upper()
     if "INT" in upper:
