@@ -10,9 +10,9 @@ exceeds the budget for its depth.
 most R bits, one rotation has at most l * R / m errors in its first l blocks, for
 every l.  So the tries of all m rotations are walked with these budgets, and together
 the walks find every link.  ``CLOSE`` (R = 3, two blocks) gives 1 error in the first
-32 bits and 3 in all; ``WIDE`` (R = 11, eight blocks) serves near copies down to a
-similarity of 0.8, which differ in more bits; its links beyond 3 bits are verified
-by the exact similarity of 5-word shingles.
+32 bits and 3 in all; ``WIDE`` is a shape of R = 11 and eight blocks.  Links say nothing
+of similarity: the pipeline's stage (``keep_first`` without a shape) groups texts by
+``similar_texts`` instead.
 
 *Distribution.*  The upper trie is cut into nodes of bounded count (a node with too
 many fingerprints is replaced by its children 4 bits further down).  A fingerprint
@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.components import components
+from planloom.llm.similar_texts import first_of_groups
 from planloom.llm.tables import settled, whole_text
 
 SHINGLE, SEED = 3, 42
@@ -76,10 +77,6 @@ class Shape:
 
 CLOSE = Shape(3, 2, (8, 12, 16, 20, 24, 28, 32))
 WIDE = Shape(11, 8, (8,))
-#: Exact similarity that links of WIDE beyond the radius of CLOSE must have, over shingles of so many words.
-SIMILAR, SIMILAR_WORDS = 0.8, 5
-#: Rows up to which a side is broadcast.
-BROADCAST_ROWS = 500_000
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once.
 FEW_LEAVES, WALKED = 64, 1 << 18
 
@@ -295,40 +292,29 @@ def links(distinct: DataFrame, shape: Shape = CLOSE) -> DataFrame:
     return rows.repartition("node").mapInArrow(join, "u bigint, v bigint, bits int")
 
 
-def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges within the close radius, and those whose texts (id, text) have the similarity.
-
-    Each side's set of shingle hashes joins by id; only documents with an edge to
-    verify are cut into shingles.
-    """
-    edges = settled(edges.distinct())
-    sure, doubtful = edges.where(F.col("bits") <= CLOSE.radius), edges.where(F.col("bits") > CLOSE.radius).select("u", "v").distinct()
-    asked = settled(doubtful.select(F.explode(F.array("u", "v")).alias("of")).distinct())
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge")
-    found = texts.join(asked, F.col("id") == F.col("of"), "left_semi").withColumn("w", F.split(F.lower(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))), " "))
-    run = ", ".join(f"get(w, i + {j})" for j in range(SIMILAR_WORDS))
-    sets = F.expr(f"CASE WHEN size(w) < {SIMILAR_WORDS} THEN array(xxhash64(w)) ELSE array_distinct(transform(sequence(0, size(w) - {SIMILAR_WORDS}), i -> xxhash64({run}))) END")
-    sets = settled(found.select("id", sets.alias("s")).dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
-    met = doubtful.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    near = met.where(F.col("shared") >= SIMILAR * (F.size("a") + F.size("b") - F.col("shared")))
-    return sure.select("u", "v").unionByName(near.select("u", "v"))
-
-
 def near_duplicates(df: DataFrame, shape: Shape = CLOSE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component): every row, its fingerprint and the least id it can reach."""
     rows = settled(fingerprints(df, id_col=id_col, text_col=text_col))
     distinct = settled(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")))
     edges = links(distinct, shape)
-    if shape.radius > CLOSE.radius:
-        edges = verified(edges, df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")))
     labels = components(edges.select("u", "v"))
     known = distinct.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
     return rows.join(settled(known), "fp", "left").select("id", "fp", "component").withColumnRenamed("id", id_col)
 
 
-def keep_first(df: DataFrame, shape: Shape = WIDE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that with the least id.  Rows without an id stay."""
-    found = near_duplicates(df, shape, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+def keep_first(df: DataFrame, shape: Shape | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that with the least id.  Rows without an id stay.
+
+    Without a shape the groups are those of ``similar_texts``, and of different texts with
+    one id each stands for itself; with a shape they are ``near_duplicates``.
+    """
+    if shape is not None:
+        found = near_duplicates(df, shape, id_col=id_col, text_col=text_col)
+        kept = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
+        return df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    mark = F.xxhash64(whole_text(text_col))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), whole_text(text_col).alias("text"))
+    first = settled(first_of_groups(texts)).withColumnsRenamed({"id": "first_id", "mark": "first_mark"})
+    rows = df.withColumn("row_mark", mark)
+    kept = rows.join(first, (F.col(id_col).cast("long") == F.col("first_id")) & (F.col("row_mark") == F.col("first_mark")), "left_semi")
+    return kept.dropDuplicates([id_col, "row_mark"]).drop("row_mark").unionByName(df.where(F.col(id_col).isNull()))

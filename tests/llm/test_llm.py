@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planloom.llm import chat_format, decontaminate, html_extract, language_id, mixing, queries, secret_scan, simhash_dedup, substring_dedup, token_counts, topk_search
 from planloom.llm.components import components
 from planloom.llm.induced_sort import suffix_order
-from tests_llm_helpers import brute_components, brute_fingerprint, prose
+from tests_llm_helpers import brute_components, brute_fingerprint, prose, shingles
 
 def frame(spark, texts, ids=None, **extra):
     """Documents with clashing and extra columns."""
@@ -104,6 +104,34 @@ def test_near_copies_down_to_the_similarity(spark):
     assert kept == [*range(6), *range(24, 84)]
 
 
+def brute_similar_groups(texts):
+    """Text to the first text it reaches by pairs of a 5-word similarity of 0.8, and nothing else."""
+    sets = [shingles(t) for t in texts]
+    parent = simhash_dedup.Forest(len(texts))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent.link(*(np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ()))))
+    return parent.parent.tolist()
+
+
+def changed(text, n, seed):
+    rng = random.Random(seed)
+    w = text.split()
+    for j in rng.sample(range(len(w)), n):
+        w[j] = f"x{rng.random()}"
+    return " ".join(w)
+
+
+def kept_ids(spark, texts):
+    return sorted(r["doc_id"] for r in simhash_dedup.keep_first(frame(spark, texts)).collect())
+
+
+def test_pairs_are_verified_before_they_are_thinned(spark):
+    base = prose(70, 200)
+    texts = [changed(base, 3, i) for i in range(150)] + [base] + [changed(base, 3, i) for i in range(150, 300)]
+    want = brute_similar_groups(texts)
+    assert len(set(want)) < 10 and kept_ids(spark, texts) == sorted(set(want))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
