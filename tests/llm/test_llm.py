@@ -132,6 +132,14 @@ def test_pairs_are_verified_before_they_are_thinned(spark):
     assert len(set(want)) < 10 and kept_ids(spark, texts) == sorted(set(want))
 
 
+def test_every_pair_at_the_similarity_is_found(spark):
+    base = [prose(700 + i, 200) for i in range(60)]
+    texts = base + [f"{t} {prose(800 + i, 48)}" for i, t in enumerate(base)]  # 196 of 244 shingles
+    bits = [(brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in zip(base, texts[60:], strict=True)]
+    want = brute_similar_groups(texts)
+    assert max(bits) > 11 and want == [*range(60), *range(60)] and kept_ids(spark, texts) == sorted(set(want))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
