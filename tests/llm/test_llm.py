@@ -140,6 +140,13 @@ def test_every_pair_at_the_similarity_is_found(spark):
     assert max(bits) > 11 and want == [*range(60), *range(60)] and kept_ids(spark, texts) == sorted(set(want))
 
 
+def test_close_fingerprints_alone_delete_nothing(spark):
+    line = prose(900, 9)
+    texts = [" ".join([line] * 40 + [prose(901 + i, 60)]) for i in range(6)]
+    assert min((brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a in texts for b in texts if a != b) <= 3
+    assert kept_ids(spark, texts) == list(range(6))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
