@@ -147,6 +147,12 @@ def test_close_fingerprints_alone_delete_nothing(spark):
     assert kept_ids(spark, texts) == list(range(6))
 
 
+def test_different_texts_of_one_id_stay(spark):
+    assert kept_ids(spark, [prose(950, 60), prose(951, 60)]) == [0, 1]
+    rows = frame(spark, [prose(950, 60), prose(951, 60), prose(950, 60)], [7, 7, 7])
+    assert sorted(r["text"] for r in simhash_dedup.keep_first(rows).collect()) == sorted([prose(950, 60), prose(951, 60)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
