@@ -78,6 +78,7 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
     area, at, lower = _OPEN_AREA, 0, None
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if parts:
@@ -100,7 +101,14 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if not name:
             continue
         if not token[1] and name in RAW:
-            at = _RAW_END[name].search(page, at).end()
+            # scripts and styles run to the end of the page, as in browsers; others are empty
+            to_end = name in ("script", "style")
+            if to_end or not (name in unclosed or token[3].rstrip().endswith("/")):
+                end = _RAW_END[name].search(page, at)
+                if end[0] or to_end:
+                    at = end.end()
+                else:
+                    unclosed.add(name)
             continue
         if name == "br":
             say(" ")

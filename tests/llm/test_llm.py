@@ -235,6 +235,12 @@ def test_pages_of_the_tables(spark, sf_dir):
         assert r["text"] == "\n".join(x for x in lines if x)
 
 
+@pytest.mark.parametrize("element", ["<svg a='b'/>", "<canvas />", "<math/>", "<object data='x' />", "<video src=x>", "<audio src=x>", "<noscript>", "<select>"])
+def test_raw_element_without_an_end_hides_nothing(element):
+    assert html_extract.main_text(f"<article><p>a</p>{element}<p>b</p></article>") == "a\nb"
+    assert html_extract.main_text("<p>a</p><script>x = 1") == "a" and html_extract.main_text("<p>a</p><svg><text>x</text></svg><p>b</p>") == "a\nb"
+
+
 # --- 4 ---
 
 
