@@ -10,31 +10,37 @@ exceeds the budget for its depth.
 most R bits, one rotation has at most l * R / m errors in its first l blocks, for
 every l.  So the tries of all m rotations are walked with these budgets, and together
 the walks find every link.  ``CLOSE`` (R = 3, two blocks) gives 1 error in the first
-32 bits and 3 in all; ``WIDE`` is a shape of R = 11 and eight blocks.  Links say nothing
-of similarity: the pipeline's stage (``keep_first`` without a shape) groups texts by
-``similar_texts`` instead.
+32 bits and 3 in all; ``WIDE`` (R = 15, sixteen blocks) none in the first 4 bits, 1 in
+8, 2 in 12 and so on.
+
+*Similar texts.*  ``keep_first`` groups texts whose sets of 5-word shingles have a
+similarity of 0.8 or more.  At that similarity two fingerprints differ in 9.4 bits
+with a deviation of 2.8, so ``WIDE`` misses 16 of 1000 such pairs; ``FINGERPRINTS`` (2)
+independent fingerprints are joined, and both miss 3 of 10,000.  Every link is
+verified by the whole sets before it may connect anything (``similar_texts``).
 
 *Distribution.*  The upper trie is cut into nodes of bounded count (a node with too
 many fingerprints is replaced by its children 4 bits further down).  A fingerprint
-belongs to its own node and visits the nodes one error away (cuts stay at depths
-with a budget of 1), from the lower to the higher of each pair, so every pair of
-fingerprints meets in one task.  The counts
-that place the cut are the only thing the driver sees, at most ``PARTS`` per level.
+belongs to its own node and visits the nodes that the budgets allow it to reach, from the
+lower to the higher of each pair, so every pair of fingerprints meets in one task,
+which holds one node at a time.  The counts that place the cut are the only thing
+the driver sees, at most ``PARTS`` per level and rotation.
 
 *Hot groups.*  Equal fingerprints are one fingerprint.  Within a task, pairs of
 nodes whose leaves are all known to be connected are skipped, and only a spanning
 forest leaves the task, so a group of near copies costs neither all its pairs in
-output nor in time.
+output nor in time.  Where links must be verified, a forest is verified first; then
+every pair that verified links do not connect yet is walked, and none is thinned.
 
 Defined cases: a text without words (null, empty or blanks only) has fingerprint
 0 and links like any other; repeated rows are linked; rows without an id get a
-fingerprint, and the component of that fingerprint, but are no members; an empty
-table gives an empty result; other columns are ignored.
+fingerprint, and the component of that fingerprint, but are no members; ids must cast
+to a long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,58 +49,64 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.llm import similar_texts
 from planloom.llm.components import components
-from planloom.llm.similar_texts import first_of_groups
 from planloom.llm.tables import settled, whole_text
 
 SHINGLE, SEED = 3, 42
 #: The cut aims at PARTS nodes of LEAST fingerprints or more.
 PARTS, LEAST = 4096, 256
+#: Fingerprints of one text that are joined where links are verified.
+FINGERPRINTS = 2
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Radius, blocks of the ring, and the depths at which the trie may be cut."""
+    """Radius, blocks of the ring, depths at which the trie may be cut and the least count to cut at."""
 
     radius: int
     blocks: int
     depths: tuple[int, ...]
-
-    def __post_init__(self):
-        if self.budget(self.depths[-1] - 1) > 1:
-            raise ValueError("a cut needs a budget of one error or none")
+    least: int = LEAST
 
     def budget(self, depth: int) -> int:
         """Errors that a pair may have after the bit at this depth."""
         return (depth * self.blocks // 64 + 1) * self.radius // self.blocks
 
-    def turned(self, fps: np.ndarray, turn: int | np.ndarray, back: bool = False) -> np.ndarray:
-        """Rotated to the left (or back) by so many blocks."""
-        left = (np.asarray(turn) * (64 // self.blocks)).astype(np.uint64)
-        left = (np.uint64(64) - left) % np.uint64(64) if back else left
-        return (fps << left) | np.where(left > 0, fps >> ((np.uint64(64) - left) % np.uint64(64)), np.uint64(0))
+    def turned(self, fps: np.ndarray, turn: int) -> np.ndarray:
+        """Rotated to the left by so many blocks."""
+        left = np.uint64(turn % self.blocks * (64 // self.blocks))
+        return (fps << left) | (fps >> (np.uint64(64) - left)) if left else fps
+
+    def masks(self, depth: int) -> list[tuple[int, int]]:
+        """(errors, place of the last) of all errors that a pair may have in the first bits, as masks of 64 bits."""
+        found = [(0, -1, 0)]
+        for bit in range(depth):
+            found += [(mask | 1 << (63 - bit), bit, n + 1) for mask, _, n in found if n < self.budget(bit)]
+        return [(mask, last) for mask, last, n in found if n]
 
 
 CLOSE = Shape(3, 2, (8, 12, 16, 20, 24, 28, 32))
-WIDE = Shape(11, 8, (8,))
-#: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once.
-FEW_LEAVES, WALKED = 64, 1 << 18
+WIDE = Shape(15, 16, (4, 8, 12), 16_384)
+#: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once; leaf pairs compared at once; rows of whole nodes held at once.
+FEW_LEAVES, WALKED, COMPARED, HELD = 64, 1 << 18, 1 << 20, 1 << 18
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of one text in UTF-8."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The hashes of all runs of ``size`` words, of the whole sequence if it is shorter."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(lengths)
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     hashes = xxhash.xxh64_intdigest
     first, last = (ends - lengths)[: len(words) - size + 1].tolist(), (ends - 1)[size - 1 :].tolist()
-    h = np.fromiter([hashes(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64, count=len(first))
+    return np.fromiter([hashes(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64, count=len(first))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -102,6 +114,12 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes) -> int:
+    """The SimHash of one text in UTF-8."""
+    words = text.translate(_LOWER).split()
+    return majority(shingle_hashes(words)) if words else 0
+
+
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp), fp as a signed long."""
 
@@ -132,20 +150,25 @@ class Cut:
             out[(out == depth) & np.isin(fps >> np.uint64(64 - depth), heavy)] = further
         return out
 
+    def deepest(self, turn: int) -> int:
+        depths = self.shape.depths
+        return max([depths[0], *(further for depth, further in zip(depths, depths[1:], strict=False) if len(self.heavy.get((turn, depth), ())))])
+
     def node(self, fps: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         depth = self.depth(fps, turn)
         prefix = (fps >> (np.uint64(64) - depth.astype(np.uint64))).astype(np.int64)
         return (np.int64(turn) << np.int64(44)) + (depth << 36) + prefix, depth
 
 
-def place_cut(distinct: DataFrame, shape: Shape = CLOSE) -> Cut:
+def place_cut(distinct: DataFrame, shape: Shape = CLOSE, columns: tuple[str, ...] = ("fp",)) -> Cut:
     """Count downwards from the top, following only the nodes that hold too many."""
     n = distinct.count()
-    most = max(LEAST, n // PARTS)
-    if len(shape.depths) == 1:
-        return Cut({}, shape)
+    most = max(shape.least, n // PARTS)
     step = 64 // shape.blocks
-    rotations = [F.struct(F.lit(t).alias("turn"), (F.shiftleft("fp", t * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * step)) if t else F.col("fp")).alias("fp")) for t in range(shape.blocks)]
+    rotations = []
+    for t in range(shape.blocks * len(columns)):
+        fp, left = F.col(columns[t // shape.blocks]), t % shape.blocks * step
+        rotations.append(F.struct(F.lit(t).alias("turn"), (F.shiftleft(fp, left).bitwiseOR(F.shiftrightunsigned(fp, 64 - left)) if left else fp).alias("fp")))
     rows = distinct.select(F.explode(F.array(*rotations)).alias("x")).select("x.*")
     heavy: dict[tuple[int, int], np.ndarray] = {}
     for depth in shape.depths[:-1]:
@@ -153,24 +176,24 @@ def place_cut(distinct: DataFrame, shape: Shape = CLOSE) -> Cut:
         found = counts.select("turn", "prefix").collect()  # at most PARTS rows for each rotation
         if not found:
             break
-        for turn in range(shape.blocks):
+        for turn in range(len(rotations)):
             heavy[turn, depth] = np.array(sorted(r["prefix"] for r in found if r["turn"] == turn), dtype=np.uint64)
         kept = distinct.sparkSession.createDataFrame([(r["turn"], r["prefix"]) for r in found], "t int, p bigint")
         rows = rows.join(F.broadcast(kept), (F.col("turn") == F.col("t")) & (F.shiftrightunsigned("fp", 64 - depth) == F.col("p")), "left_semi")
     return Cut(heavy, shape)
 
 
-def dealt(fps: np.ndarray, ids: np.ndarray, cut: Cut) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(node, fingerprint, id, at home) for the own node and the higher nodes one error away."""
-    for turn in range(cut.shape.blocks):
+def dealt(fps: np.ndarray, cut: Cut, nth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, rotated fingerprint, place, at home) for the own node and the higher nodes within the budgets, of the nth fingerprint."""
+    for turn in range(nth * cut.shape.blocks, (nth + 1) * cut.shape.blocks):
         own = cut.shape.turned(fps, turn)
         home, _ = cut.node(own, turn)
-        yield home, own, ids, np.ones(len(own), dtype=bool)
-        for bit in range(cut.shape.depths[-1] if cut.shape.budget(cut.shape.depths[-1] - 1) else 0):
-            near, depth = cut.node(own ^ np.uint64(1 << (63 - bit)), turn)
-            goes = (bit < depth) & (near > home)
-            if goes.any():
-                yield near[goes], own[goes], ids[goes], np.zeros(int(goes.sum()), dtype=bool)
+        yield home, own, np.arange(len(own)), np.ones(len(own), dtype=bool)
+        for mask, last in cut.shape.masks(cut.deepest(turn)):
+            near, depth = cut.node(own ^ np.uint64(mask), turn)
+            goes = np.flatnonzero((last < depth) & (near > home))
+            if len(goes):
+                yield near[goes], own[goes], goes, np.zeros(len(goes), dtype=bool)
 
 
 # --- the walk ---
@@ -200,14 +223,25 @@ class Forest:
                 self.parent = up
 
 
-def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, shape: Shape = CLOSE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of one task: places of linked pairs."""
+#: Of places of pairs, which may link: what is known beyond the fingerprints.
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, owner: np.ndarray, shape: Shape = CLOSE, *, known: np.ndarray | None = None, test: Test | None = None, thin: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of one task, as places of linked pairs.
+
+    ``owner`` says which places are one fingerprint (in several nodes) and ``known`` which
+    component an owner is already in.  Thinned, a spanning forest of the links; else all
+    links between different components.
+    """
     order = np.lexsort((fps, ~home, node))
     node, fps, home = node[order], fps[order], home[order]
     n = len(fps)
-    _, which = np.unique(shape.turned(fps, node >> 44, back=True), return_inverse=True)
+    which = np.unique(owner[order], return_inverse=True)[1]
     forest = Forest(int(which.max(initial=-1)) + 1)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    if known is not None:
+        _, first, same = np.unique(known[order], return_index=True, return_inverse=True)
+        forest.link(which, which[first][same])
     starts = np.flatnonzero(np.r_[n > 0, np.diff(node) != 0]) if n else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], n].astype(np.int64) if n else starts
     homes = np.r_[0, np.cumsum(home)]
@@ -232,12 +266,20 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, shape: Shape = CLO
             joined = (changes[a[:, 0]] == changes[a[:, 1] - 1]) & (changes[b[:, 0]] == changes[b[:, 1] - 1]) & (label[a[:, 0]] == label[b[:, 0]])
             a, b, errors = a[~joined], b[~joined], errors[~joined]
         few = (a[:, 1] - a[:, 0]) * (b[:, 1] - b[:, 0]) <= FEW_LEAVES if depth < 64 else np.ones(len(a), dtype=bool)
-        if few.any():
-            x, y = _close(fps, a[few], b[few], shape.radius)
-            used = forest.link(which[x], which[y])
-            if len(used):
-                edges.append((x[used], y[used]))
-                changes = None
+        for x, y in _leaf_pairs(a[few], b[few]):
+            near = np.flatnonzero(np.bitwise_count(fps[x] ^ fps[y]) <= shape.radius)
+            x, y = x[near], y[near]
+            apart = forest.parent[which[x]] != forest.parent[which[y]]
+            x, y = x[apart], y[apart]
+            if test is not None and len(x):
+                passed = test(order[x], order[y])
+                x, y = x[passed], y[passed]
+            if thin:
+                used = forest.link(which[x], which[y])
+                x, y = x[used], y[used]
+                changes = None if len(used) else changes
+            if len(x):
+                yield order[x], order[y]
         a, b, errors = a[~few], b[~few], errors[~few]
         if not len(a):
             continue
@@ -255,58 +297,157 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, shape: Shape = CLO
             full = (x[:, 1] > x[:, 0]) & (y[:, 1] > y[:, 0])
             if full.any():
                 stack.append((depth + 1, x[full], y[full], e[full]))
-    none = np.zeros(0, dtype=np.int64)
-    return order[np.concatenate([none, *(x for x, _ in edges)])], order[np.concatenate([none, *(y for _, y in edges)])]
 
 
-def _close(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all pairs of leaves under these pairs of nodes that link."""
+def _leaf_pairs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of leaves under these pairs of nodes, of a node with itself once; about ``COMPARED`` at a time."""
+    wide = b[:, 1] - b[:, 0]
+    long = np.flatnonzero((a[:, 1] - a[:, 0]) * wide > COMPARED)
+    for i in long:
+        step = max(1, COMPARED // int(wide[i]))
+        for at in range(int(a[i, 0]), int(a[i, 1]), step):
+            yield from _pairs(np.array([[at, min(at + step, a[i, 1])]]), b[i : i + 1])
+    a, b = np.delete(a, long, axis=0), np.delete(b, long, axis=0)
+    made = np.cumsum((a[:, 1] - a[:, 0]) * (b[:, 1] - b[:, 0]))
+    cuts = np.searchsorted(made, np.arange(0, made[-1] if len(made) else 0, COMPARED), side="right")
+    for start, end in zip(cuts, np.r_[cuts[1:], len(a)].astype(np.int64), strict=False):
+        if end > start:
+            yield from _pairs(a[start:end], b[start:end])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     wide = b[:, 1] - b[:, 0]
     pairs = (a[:, 1] - a[:, 0]) * wide
     which = np.repeat(np.arange(len(a)), pairs)
     at = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
     x, y = a[which, 0] + at // wide[which], b[which, 0] + at % wide[which]
-    linked = (np.bitwise_count(fps[x] ^ fps[y]) <= radius) & (x != y)
-    return x[linked], y[linked]
+    once = x < y
+    yield x[once], y[once]
+
+
+def whole_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by ``node``, about ``HELD`` at a time, never a part of a node."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0)
+        if held and rows >= HELD:
+            last = held[-1].column(0)[-1]
+            same = int(np.searchsorted(node.to_numpy(), last.as_py(), side="right"))
+            if same < batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, same)])
+                held, rows, batch = [], 0, batch.slice(same)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def links(distinct: DataFrame, shape: Shape = CLOSE) -> DataFrame:
-    """Spanning edges (u, v, bits) between ids of ``distinct`` (fp, id) whose fingerprints link."""
+    """Spanning edges (u, v) between ids of ``distinct`` (fp, id) whose fingerprints link."""
     cut = place_cut(distinct, shape)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for node, fp, ids, home in dealt(fps, batch.column(1).to_numpy(), cut):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp.view(np.int64)), pa.array(ids), pa.array(home)], names=["node", "fp", "id", "home"])
+            for node, fp, place, home in dealt(batch.column(0).to_numpy().view(np.uint64), cut):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp.view(np.int64)), batch.column(1).take(pa.array(place)), pa.array(home)], names=["node", "fp", "id", "home"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = list(batches)
-        if met:
-            node, fps, ids, home = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in met]) for i in range(4))
-            fps = fps.view(np.uint64)
-            u, v = walk(node, fps, home.astype(bool), shape)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(np.bitwise_count(fps[u] ^ fps[v]).astype(np.int32))], names=["u", "v", "bits"])
+        for met in whole_nodes(batches):
+            node, fps, ids, home = (met.column(i).to_numpy() for i in range(4))
+            for u, v in walk(node, fps.view(np.uint64), home.astype(bool), ids, shape):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
 
     rows = distinct.select("fp", "id").mapInArrow(deal, "node bigint, fp bigint, id bigint, home boolean")
-    return rows.repartition("node").mapInArrow(join, "u bigint, v bigint, bits int")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(join, "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, shape: Shape = CLOSE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component): every row, its fingerprint and the least id it can reach."""
     rows = settled(fingerprints(df, id_col=id_col, text_col=text_col))
     distinct = settled(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")))
-    edges = links(distinct, shape)
-    labels = components(edges.select("u", "v"))
+    labels = components(links(distinct, shape))
     known = distinct.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
     return rows.join(settled(known), "fp", "left").select("id", "fp", "component").withColumnRenamed("id", id_col)
 
 
+# --- groups of similar texts ---
+
+
+def similar_links(nodes: DataFrame, cut: Cut, *, thin: bool) -> DataFrame:
+    """Distinct pairs (u, v) of ``nodes`` (node, n, sketch, component, fp0, fp1 ...) that may reach the similarity.
+
+    Some fingerprint of the two links and sizes and sketches allow it; pairs within one component are left out.
+    """
+    shape = cut.shape
+    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+    carried = ["at", "fp", "home", "node", "n", "sketch", "component"]
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nth in range(FINGERPRINTS):
+                for at, fp, place, home in dealt(batch.column(nth).to_numpy().view(np.uint64), cut, nth):
+                    own = [batch.column(FINGERPRINTS + i).take(pa.array(place)) for i in range(4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fp.view(np.int64)), pa.array(home), *own], names=carried)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in whole_nodes(batches):
+            at, fps, home, node, n, component = (met.column(c).to_numpy() for c in ("at", "fp", "home", "node", "n", "component"))
+            bits = similar_texts.sketches(met.column("sketch"))
+            test = similar_texts.may_reach(n.astype(np.int64), bits)
+            for u, v in walk(at, fps.view(np.uint64), home.astype(bool), node, shape, known=component, test=test, thin=thin):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))], names=["u", "v"])
+
+    rows = nodes.select(*names, "node", "n", "sketch", "component").mapInArrow(deal, "at bigint, fp bigint, home boolean, node bigint, n int, sketch binary, component bigint")
+    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(join, "u bigint, v bigint").distinct()
+
+
+def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
+    """Of texts (id, mark, text), mark a hash of the text: (id, mark) of the first of each group of similar texts."""
+    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, sizes, sketches, fps = [], [], [], []
+            for data in batch.column(2).cast(pa.binary()).to_pylist():
+                words = similar_texts.words(data)
+                found = similar_texts.shingle_set(words)
+                h = np.unique(shingle_hashes(words)) if words else np.zeros(0, dtype=np.uint64)
+                node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                sketches.append(similar_texts.sketch(found))
+                # the product with an odd number, folded, is a hash of its own for the next fingerprint
+                fps.append([majority(h), majority((h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))])
+            fps = np.array(fps, dtype=np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *(pa.array(fps[:, i].copy()) for i in range(FINGERPRINTS))], names=["id", "mark", "node", "n", "sketch", *names])
+
+    found = texts.select("id", "mark", "text").mapInArrow(parse, "id bigint, mark bigint, node bigint, n int, sketch binary, " + ", ".join(f"{x} bigint" for x in names))
+    unique = settled(found.groupBy("node").agg(F.min(F.struct("id", "mark", "n", "sketch", *names)).alias("m")).select("node", "m.*"))
+    owners = unique.select("node", "id", "mark")
+    cut = place_cut(unique, shape, tuple(names))
+    edges, labels = None, None
+    for thin in (True, False):
+        known = F.col("node") if labels is None else F.coalesce("component", "node")
+        rows = unique if labels is None else unique.join(labels, "node", "left")
+        pairs = settled(similar_links(rows.withColumn("component", known), cut, thin=thin))
+        if pairs.isEmpty():
+            break
+        near = settled(similar_texts.verified(pairs, texts, owners))
+        edges = near if edges is None else edges.unionByName(near)
+        labels = components(edges)
+    if labels is None:
+        return owners.select("id", "mark")
+    groups = owners.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+    return groups.agg(F.min(F.struct("id", "mark")).alias("m")).select("m.*")
+
+
 def keep_first(df: DataFrame, shape: Shape | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that with the least id.  Rows without an id stay.
+    """One row of each group of similar texts: that with the least id.
 
-    Without a shape the groups are those of ``similar_texts``, and of different texts with
-    one id each stands for itself; with a shape they are ``near_duplicates``.
+    Rows without an id stay; of different texts with one id each stands for itself.
+    With a shape the groups are those of ``near_duplicates``, by fingerprints alone.
     """
     if shape is not None:
         found = near_duplicates(df, shape, id_col=id_col, text_col=text_col)

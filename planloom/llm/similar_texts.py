@@ -1,31 +1,12 @@
-"""Groups of texts with a similarity of 0.8 or more: an exact join by prefixes of shingle sets.
+"""Similarity of texts by their sets of 5-word shingles, shared over united: 0.8 or more.
 
-The similarity of two texts is that of their sets of 5-word shingles, shared over
-united.  Groups are the components of all pairs that reach it; no fingerprint decides.
-
-1. *Nodes.*  Texts with equal sets are one node, so exact copies cost one row.
-2. *Prefixes.*  Put the shingles of every set in one order.  Two sets of similarity
-   0.8 share one of the first ``n - ceil(0.8 n) + 1`` shingles of either, so nodes
-   meet by the shingles of their prefixes, and every pair that reaches the
-   similarity meets.  Any order gives all pairs; shingles that are frequent in a
-   sample of texts come last, which keeps common passages out of most prefixes.
-3. *Verification* by the whole sets, before a pair becomes an edge.  A pair whose
-   sketches (parities of hashed shingles) differ in more bits than the similarity
-   allows is left out before its sets are read; a pair that reaches it never is.
-4. *Rounds.*  In ``STARS`` rounds each list of nodes with one shingle is compared with
-   one of them, first the one with the most frequent shingles (an original rather than
-   its copies), then one by hash.  Verified pairs join nodes to components.  At last
-   all pairs of a list that still lie in different components are compared.  A pair
-   is left out only if verified pairs connect it already.
-
-A group of near copies is mostly joined by its stars; texts that share prefixes but do
-not reach the similarity are compared pair by pair.  The nodes of one list (five numbers
-each) must fit a task.
+``sketch`` is a small summary that can only rule a pair out, ``verified`` compares whole
+sets.  Which pairs are compared is the matter of ``simhash_dedup``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,192 +14,77 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.components import components
 from planloom.llm.tables import settled
 
 WORDS, SEED = 5, 42
 #: The similarity as a fraction.
 SHARED, OF = 4, 5
-#: One text of so many is counted for the order; shingles that the driver holds at most.
-SAMPLED, FREQUENT = 16, 200_000
-STARS = 2
-#: Pairs made at once, rows up to which a side is broadcast.
-PAIRS, BROADCAST_ROWS = 1 << 21, 500_000
+#: Bits of a sketch.
+SKETCH = 512
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_set(data: bytes) -> np.ndarray:
-    """Sorted hashes of the 5-word shingles of a text in UTF-8; a shorter text is one shingle."""
+def words(data: bytes) -> list[bytes]:
+    """Lower-cased words of a text in UTF-8."""
     low = data.translate(_LOWER) if data.isascii() else data.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
-    words = low.split()
-    joined = b" ".join(words)
-    if len(words) <= WORDS:
+    return low.split()
+
+
+def shingle_set(found: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the 5-word shingles; fewer words are one shingle."""
+    joined = b" ".join(found)
+    if len(found) <= WORDS:
         return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
     ends = np.cumsum(lengths)
-    first, last = (ends - lengths)[: len(words) - WORDS + 1].tolist(), (ends - 1)[WORDS - 1 :].tolist()
+    first, last = (ends - lengths)[: len(found) - WORDS + 1].tolist(), (ends - 1)[WORDS - 1 :].tolist()
     hashes = xxhash.xxh64_intdigest
     return np.unique(np.fromiter([hashes(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64, count=len(first)))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """The first shingles of a set, rare ones first; the share of frequent ones in all."""
-    weight = np.zeros(len(found), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        weight = np.where(frequent[at] == found, counts[at], 0)
-    size = len(found) - -(-len(found) * SHARED // OF) + 1
-    return found[np.lexsort((found, weight))[:size]], float(np.count_nonzero(weight)) / len(found)
-
-
 def sketch(found: np.ndarray) -> bytes:
-    """For each of 2^k bits, whether an odd number of shingles falls on it."""
-    bits = max(256, 1 << (len(found) - 1).bit_length())
-    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def may_reach(a: bytes, b: bytes, sizes: int) -> bool:
-    """Sketches differ in no more bits than the sets in shingles, and the similarity allows a ninth of both sizes."""
-    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return (OF + SHARED) * int(np.bitwise_count(x ^ y).sum()) <= (OF - SHARED) * sizes
-
-
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most texts of a sample share, at most FREQUENT of them, and their counts."""
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data).view(np.int64))], names=["h"])
-
-    sample = texts.where(F.pmod(F.xxhash64("id", "mark"), F.lit(SAMPLED)) == 0).select("text").distinct()
-    counted = settled(sample.mapInArrow(spread, "h bigint").groupBy("h").count().where("count > 1"))
-    least, held = 2, 0
-    for r in sorted(counted.groupBy(F.least("count", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["n"]):
-        held += r["rows"]
-        if held > FREQUENT:
-            least = r["n"] + 1
-            break
-    rows = counted.where(F.col("count") >= least).toArrow()
-    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def nodes(texts: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Rows (id, mark, node, n, common, sketch, prefix): the node of each text, sketch and prefix of its set."""
+    """For each bit, whether an odd number of shingles falls on it."""
+    return np.packbits((np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, sizes, common, sketches, prefixes = [], [], [], [], []
-            for data in batch.column(2).cast(pa.binary()).to_pylist():
-                found = shingle_set(data)
-                first, share = prefix(found, frequent, counts)
-                node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                common.append(share)
-                sketches.append(sketch(found))
-                prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(common, pa.float32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "mark", "node", "n", "common", "sketch", "prefix"])
-
-    return texts.mapInArrow(parse, "id bigint, mark bigint, node bigint, n int, common float, sketch binary, prefix array<bigint>")
-
-
-def _by_list(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The columns in order of h, and where each list of one h begins and ends."""
-    met = list(batches)
-    if not met:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    met = pa.Table.from_batches(met)
-    h = met.column("h").to_numpy()
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-    return [met.column(c).to_numpy()[order] for c in columns], starts, np.r_[starts[1:], len(h)].astype(np.int64)[: len(starts)]
-
-
-def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of sets that may reach the similarity."""
-    return np.minimum(a, b).astype(np.int64) * OF >= np.maximum(a, b).astype(np.int64) * SHARED
-
-
-def shared_lists(unique: DataFrame) -> DataFrame:
-    """Rows (h, node, n, common) of the shingles that several prefixes have."""
-    names = ("node", "n", "common")
 
-    def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        columns, starts, ends = _by_list(held, ("h", *names))
-        if len(starts):
-            kept = np.repeat(ends - starts > 1, ends - starts)
-            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["h", *names])
+def sketches(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of sketches as rows of 64-bit words."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(np.uint64).reshape(-1, SKETCH // 64)
 
-    rows = unique.where("n > 1").select(F.explode("prefix").alias("h"), *names)
-    return rows.repartition("h").mapInArrow(several, "h bigint, node bigint, n int, common float")
 
+def may_reach(sizes: np.ndarray, bits: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of pairs that never rules out one that reaches the similarity.
 
-def candidates(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of lists (h, node, n, common, component): of one node with the others, or in the last turn all, where components differ."""
+    Sets differ in at least as many shingles as their sketches in bits, and the
+    similarity allows a ninth of both sizes.
+    """
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, starts, ends = _by_list(batches, ("node", "n", "common", "component"))
-        if not len(starts):
-            return
-        node, n, common, component = columns
-        changes = np.r_[0, np.cumsum(component[1:] != component[:-1])]
-        mixed = changes[ends - 1] != changes[starts]
-        starts, ends = starts[mixed], ends[mixed]
-        out: list[np.ndarray] = []
-        held = 0
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = sizes[x], sizes[y]
+        passed = np.minimum(a, b) * OF >= np.maximum(a, b) * SHARED
+        some = np.flatnonzero(passed)
+        differ = np.bitwise_count(bits[x[some]] ^ bits[y[some]]).sum(axis=1, dtype=np.int64)
+        passed[some] = (OF + SHARED) * differ <= (OF - SHARED) * (a[some] + b[some])
+        return passed
 
-        def told() -> pa.RecordBatch:
-            uv = np.unique(np.concatenate(out), axis=0)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
-
-        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            if turn < STARS:
-                mix = node[start:end].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                pivots = [start + int(np.lexsort((mix, -common[start:end]))[0] if turn == 0 else np.argmin(mix))]
-            else:
-                pivots = range(start, end - 1)
-            for p in pivots:
-                own = np.arange(start if turn < STARS else p + 1, end)
-                own = own[(component[own] != component[p]) & _compatible(n[own], n[p])]
-                if len(own):
-                    out.append(np.stack([np.minimum(node[own], node[p]), np.maximum(node[own], node[p])], 1))
-                    held += len(own)
-                if held >= PAIRS:
-                    yield told()
-                    held = 0
-        if out:
-            yield told()
-
-    return lists.repartition("h").mapInArrow(pairs, "u bigint, v bigint").distinct()
+    return test
 
 
 def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have the similarity; only texts of these nodes are cut into shingles."""
-    own = owners.select("node", "n", "sketch").hint("merge")
-
-    def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [may_reach(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
-
-    left, right = own.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("a")), own.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("b"))
-    pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", F.col("n_u") + F.col("n_v"))
-    pairs = settled(pairs.mapInArrow(possible, "u bigint, v bigint"))
-    owners = owners.select("node", "id", "mark")
     asked = settled(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(owners, "node"))
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(data).view(np.int64) for data in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingle_set(words(data)).view(np.int64) for data in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,32 +95,10 @@ def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame
                 x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
                 shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 near.append(OF * shared >= SHARED * (len(x) + len(y) - shared))
-            kept = batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
-            yield kept
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    found = texts.join(asked, ["id", "mark"]).select("node", "text")  # repeated rows repeat edges
-    sets = settled(found.mapInArrow(cut, "node bigint, s array<bigint>"))
+    found = texts.join(asked, ["id", "mark"]).select("node", "text")
+    sets = settled(found.mapInArrow(cut, "node bigint, s array<bigint>").dropDuplicates(["node"]))
     left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     met = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
     return met.mapInArrow(compare, "u bigint, v bigint")
-
-
-def first_of_groups(texts: DataFrame) -> DataFrame:
-    """Of texts (id, mark, text), mark a hash of the text: (id, mark) of the first of each group."""
-    found = nodes(texts, *frequent_shingles(texts))
-    unique = settled(found.groupBy("node").agg(F.min(F.struct("id", "mark", "n", "common", "sketch", "prefix")).alias("m")).select("node", "m.*"))
-    owners = unique.select("node", "id", "mark", "n", "sketch")
-    lists = settled(shared_lists(unique)).withColumn("component", F.col("node"))
-    edges, labels = None, None
-    for turn in range(STARS + 1):
-        pairs = settled(candidates(lists, turn))
-        if pairs.isEmpty():
-            break
-        near = settled(verified(pairs, texts, owners))
-        edges = near if edges is None else edges.unionByName(near)
-        labels = components(edges)
-        lists = lists.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if labels is None:
-        return owners.select("id", "mark")
-    groups = owners.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-    return groups.agg(F.min(F.struct("id", "mark")).alias("m")).select("m.*")

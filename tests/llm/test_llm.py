@@ -72,23 +72,54 @@ def test_trie_walk_finds_every_link(seed):
     if seed % 2:
         for turn in range(shape.blocks):
             own = shape.turned(fps, turn)
-            assert np.array_equal(shape.turned(own, turn, back=True), fps)
+            assert np.array_equal(shape.turned(own, shape.blocks - turn), fps)
             inside = np.ones(len(own), dtype=bool)
             for depth in shape.depths[:-1]:
                 values, n = np.unique(own[inside] >> np.uint64(64 - depth), return_counts=True)
                 heavy[turn, depth] = values[n > 3]
                 inside &= np.isin(own >> np.uint64(64 - depth), heavy[turn, depth])
-    parts = [np.concatenate(x) for x in zip(*simhash_dedup.dealt(fps, np.arange(len(fps)), simhash_dedup.Cut(heavy, shape)), strict=True)]
+    parts = [np.concatenate(x) for x in zip(*simhash_dedup.dealt(fps, simhash_dedup.Cut(heavy, shape)), strict=True)]
     found, brute = simhash_dedup.Forest(len(fps)), simhash_dedup.Forest(len(fps))
     for task in range(5):
         own = parts[0] % 5 == task
-        u, v = (parts[2][own][x] for x in simhash_dedup.walk(parts[0][own], parts[1][own], parts[3][own], shape))
-        assert (np.bitwise_count(fps[u] ^ fps[v]) <= shape.radius).all()
-        found.link(u, v)
+        for pairs in simhash_dedup.walk(parts[0][own], parts[1][own], parts[3][own], parts[2][own], shape):
+            u, v = (parts[2][own][x] for x in pairs)
+            assert (np.bitwise_count(fps[u] ^ fps[v]) <= shape.radius).all()
+            found.link(u, v)
     brute.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= shape.radius))
     assert np.array_equal(found.parent, brute.parent)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_trie_walk_without_thinning_finds_every_pair_between_components(seed):
+    shape, rng = simhash_dedup.WIDE, np.random.default_rng(seed)
+    fps = np.array([int(b) ^ sum(1 << int(i) for i in rng.choice(64, 7, replace=False)) for b in rng.integers(0, 2**63, 12, dtype=np.uint64) for _ in range(20)], dtype=np.uint64)
+    known = np.arange(len(fps)) // 5
+    heavy = {(t, d): np.unique(shape.turned(fps, t) >> np.uint64(64 - d)) for t in range(shape.blocks) for d in shape.depths[:-1]} if seed % 2 else {}
+    parts = [np.concatenate(x) for x in zip(*simhash_dedup.dealt(fps, simhash_dedup.Cut(heavy, shape)), strict=True)]
+    met = set()
+    for task in range(3):
+        node, fp, place, home = (x[parts[0] % 3 == task] for x in parts)
+        for u, v in simhash_dedup.walk(node, fp, home, place, shape, known=known[place], thin=False):
+            met |= {(min(x, y), max(x, y)) for x, y in zip(place[u].tolist(), place[v].tolist(), strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= shape.radius
+    assert met == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j and known[i] != known[j]}
+
+
+def test_nodes_are_never_parted():
+    import pyarrow as pa
+
+    node = np.sort(np.random.default_rng(1).integers(0, 40, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["node"]) for x in np.array_split(node, 60)]
+    held, simhash_dedup.HELD = simhash_dedup.HELD, 30
+    try:
+        got = [t.column(0).to_numpy() for t in simhash_dedup.whole_nodes(batches)]
+    finally:
+        simhash_dedup.HELD = held
+    assert np.array_equal(np.concatenate(got), node) and len(got) > 3
+    assert all(x[-1] != y[0] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_near_copies_down_to_the_similarity(spark):
     base = [prose(40 + i, 150) for i in range(6)]
     copies = []
