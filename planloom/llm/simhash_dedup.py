@@ -412,14 +412,14 @@ def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
         for batch in batches:
             node, sizes, sketches, fps = [], [], [], []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
-                words = similar_texts.words(data)
+                words = similar_texts.word_hashes(data)
                 found = similar_texts.shingle_set(words)
-                h = np.unique(shingle_hashes(words)) if words else np.zeros(0, dtype=np.uint64)
+                h = similar_texts.distinct(similar_texts.runs(words, SHINGLE))
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 sketches.append(similar_texts.sketch(found))
                 # the product with an odd number, folded, is a hash of its own for the next fingerprint
-                fps.append([majority(h), majority((h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))])
+                fps.append([majority(h), majority((h * np.uint64(0x9E3779B97F4A7C15)) ^ ((h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)))])
             fps = np.array(fps, dtype=np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *(pa.array(fps[:, i].copy()) for i in range(FINGERPRINTS))], names=["id", "mark", "node", "n", "sketch", *names])
 

@@ -19,30 +19,91 @@ from planloom.llm.tables import settled
 WORDS, SEED = 5, 42
 #: The similarity as a fraction.
 SHARED, OF = 4, 5
-#: Bits of a sketch.
-SKETCH = 512
+#: Bits of a sketch; bytes of a text that are hashed at once.
+SKETCH, PIECE = 512, 1 << 20
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANK = np.array([b in b" \t\n\v\f\r" for b in range(256)])
+_BYTE = np.random.default_rng(SEED).integers(0, 2**64, 256, dtype=np.uint64)
+#: Odd, with its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def words(data: bytes) -> list[bytes]:
-    """Lower-cased words of a text in UTF-8."""
-    low = data.translate(_LOWER) if data.isascii() else data.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
-    return low.split()
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(PIECE - 1, base, dtype=np.uint64)])
+
+
+_POWERS: list[np.ndarray] = []
 
 
-def shingle_set(found: list[bytes]) -> np.ndarray:
-    """Sorted hashes of the 5-word shingles; fewer words are one shingle."""
-    joined = b" ".join(found)
-    if len(found) <= WORDS:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
-    ends = np.cumsum(lengths)
-    first, last = (ends - lengths)[: len(found) - WORDS + 1].tolist(), (ends - 1)[WORDS - 1 :].tolist()
-    hashes = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter([hashes(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64, count=len(first)))
+def _piece(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a piece: polynomials of their bytes, from one running sum."""
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    if not _POWERS:
+        _POWERS.extend((_powers(_BASE), _powers(_BACK)))
+    up, down = _POWERS
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of every lower-cased word of a text in UTF-8, in order."""
+    low = data.translate(_LOWER) if data.isascii() else data.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+    whole = np.frombuffer(low, dtype=np.uint8)
+    if len(whole) <= PIECE:
+        return _piece(whole)
+    parts, at = [], 0
+    while at < len(whole):
+        end = min(at + PIECE, len(whole))
+        blanks = np.flatnonzero(_BLANK[whole[at:end]]) if end < len(whole) else ()
+        if len(blanks):
+            end = at + int(blanks[-1]) + 1
+        elif end < len(whole):  # a word longer than a piece
+            later = np.flatnonzero(_BLANK[whole[end:]])
+            end = end + int(later[0]) if len(later) else len(whole)
+            word = low[at:end].split()[0]
+            parts.append(np.array([xxhash.xxh64_intdigest(word, SEED)], dtype=np.uint64))
+            at = end
+            continue
+        parts.append(_piece(whole[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) > 1 else h
+
+
+_TURNS = np.random.default_rng(SEED + 1).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` (at most ``WORDS``) words from the hashes of the words; of all words if they are fewer."""
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
+    h = np.full(n, size, dtype=np.uint64)
+    for i in range(size):
+        h += hashes[i : i + n] * _TURNS[i]
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the 5-word shingles, of all words if they are fewer (one shingle)."""
+    return distinct(runs(hashes, WORDS))
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -84,7 +145,7 @@ def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(words(data)).view(np.int64) for data in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingle_set(word_hashes(data)).view(np.int64) for data in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

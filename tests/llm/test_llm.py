@@ -186,9 +186,10 @@ def test_different_texts_of_one_id_stay(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 130)}}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for small in (0, 1000):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), small).collect()}
+        assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 130)}}
+        assert components(spark.createDataFrame([], "u long, v long"), small).count() == 0
 
 
 # --- 2 ---
