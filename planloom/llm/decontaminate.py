@@ -2,22 +2,25 @@
 
 Words are lower-cased runs of letters, marks and digits; an item's shingles are its
 runs of ``SHINGLE`` (5) words, fewer if the item is shorter.  For every window of
-an item's size in a document:
-
-1. *Anchors.*  A window that reaches the threshold shares a shingle with the
-   item, so the windows that need a fingerprint are those aligned with a shared
-   shingle.  They come from one pass over all shingles of all documents, joined
-   by hash with the items' shingles.
-2. *Fingerprints.*  The SimHash of the window's shingles, and the item's.
-3. *Multi-index.*  Both are cut into ``RADIUS + 1`` blocks of bits and joined by
-   item, block and value: two fingerprints within the radius agree in a block, so
-   the join has all of them.
+an item's size (in words) in a document:
+
+1. *Windows.*  A window of similarity t shares at least t / (1 + t) of all shingles of
+   both with one item, so a window that holds fewer shingles of *any* items of its
+   size cannot be a leak of any of them.  All other windows are fingerprinted, wherever
+   in them the shingles stand and whichever items they come from.
+2. *Fingerprints.*  The SimHash of the window's shingles, and of the item's.
+3. *Multi-index.*  Fingerprints are cut into ``BLOCKS`` blocks.  If two differ in at most
+   ``RADIUS`` bits, some block differs in at most its share of ``RADIUS - BLOCKS + 1``
+   (the general pigeonhole principle).  The index holds every item under all values
+   that near its own, block by block; windows look their own values up.  So the index
+   finds all pairs within the radius, and only it brings windows and items together.
 4. *Verification.*  The exact similarity of the weighted shingles (a shingle weighs
    as often as it occurs): shared weight over united weight, 0.8 or more.
 
 The result has one row per document and item, with the best window (ties: the
-first).  The radius is wide: windows at the threshold differ in 10 of 64 bits on
-average with a deviation of 3, so 26 is over five deviations away.
+first).  Fingerprints of windows at the threshold differ in 9.7 of 64 bits on
+average with a deviation of 2.9, so the radius of 19 misses 3 of 10,000 windows that
+just reach it, and fewer the more similar they are.
 
 Defined cases: null or empty texts and items have no shingles and never match;
 a document shorter than the item is one window; repeated rows count once; a null
@@ -27,12 +30,14 @@ ignored (or, by ``drop_leaks``, returned as they were).
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.tables import settled, whole_text
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 26
+SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 19, 6
 WORDS = r"[\p{L}\p{M}\p{N}]+"
 #: Rows up to which a side is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -47,73 +52,110 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
+def word_hashes_sql(w: str, k: int) -> str:
+    run = ", ".join(f"get({w}, i + {j})" for j in range(k))
+    return f"CASE WHEN size({w}) >= {k} THEN transform(sequence(0, size({w}) - {k}), i -> xxhash64({run})) ELSE array() END"
+
+
 def word_hashes(w: str, k: int) -> Column:
     """Hashes of all runs of k words of the array column w."""
-    run = ", ".join(f"get({w}, i + {j})" for j in range(k))
-    return F.expr(f"CASE WHEN size({w}) >= {k} THEN transform(sequence(0, size({w}) - {k}), i -> xxhash64({run})) ELSE array() END")
+    return F.expr(word_hashes_sql(w, k))
 
 
 def shingles(w: str, k: str) -> Column:
     return F.expr(f"CASE WHEN size({w}) >= {k} THEN transform(sequence(1, size({w}) - {k} + 1), i -> array_join(slice({w}, i, {k}), ' ')) ELSE array() END")
 
 
+#: Every sixteenth bit: four counters of 16 bits in a long.
+LANES = 0x0001000100010001
+
+
 def simhash(s: str) -> Column:
-    """64 bits, each set if it is set in over half the hashes of the strings in array column s."""
-    return F.expr(
-        f"aggregate(transform({s}, x -> xxhash64(x)), array_repeat(0, 64), (acc, h) -> transform(acc, (n, b) -> n + CAST(shiftrightunsigned(h, b) & 1L AS INT)), "
-        f"acc -> aggregate(sequence(0, 63), 0L, (bits, b) -> bits | CASE WHEN 2 * get(acc, b) > size({s}) THEN shiftleft(1L, b) ELSE 0L END))"
-    )
+    """64 bits, each set if it is set in over half the hashes of the strings in array column s (under 65,536)."""
+    counted = f"aggregate({s}, array_repeat(0L, 16), (acc, x) -> transform(acc, (n, i) -> n + (shiftrightunsigned(xxhash64(x), i) & {LANES}L)))"
+    bit = f"CASE WHEN 2 * (shiftrightunsigned(get(acc, b % 16), b - b % 16) & 65535L) > size({s}) THEN shiftleft(1L, b) ELSE 0L END"
+    return F.expr(f"aggregate(array({counted}), 0L, (none, acc) -> aggregate(sequence(0, 63), 0L, (bits, b) -> bits | {bit}))")
+
+
+def cut_into_blocks(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, errors) of each block: a pair within the radius has a block within its errors."""
+    blocks = min(blocks, radius + 1)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    most, more = divmod(radius - blocks + 1, blocks)
+    return [(a, b - a, most + (i < more)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
-def blocks(fingerprint: str, radius: int) -> Column:
-    """RADIUS + 1 blocks of bits as an array of values."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.expr(f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(edges, edges[1:], strict=False)])
+def looked_up(fingerprint: str, radius: int, blocks: int) -> Column:
+    """The value of every block, in order."""
+    return F.array(*[F.expr(f"shiftrightunsigned({fingerprint}, {at}) & {(1 << bits) - 1}L") for at, bits, _ in cut_into_blocks(radius, blocks)])
+
+
+def indexed(fingerprint: str, radius: int, blocks: int) -> Column:
+    """Rows (block, value) under which a fingerprint is found: each block's values within its errors."""
+    parts = []
+    for i, (at, bits, errors) in enumerate(cut_into_blocks(radius, blocks)):
+        masks = sorted(sum(1 << b for b in chosen) for n in range(errors + 1) for chosen in combinations(range(bits), n))
+        listed = ", ".join(f"{m}L" for m in masks)
+        parts.append(F.expr(f"transform(array({listed}), m -> struct({i} AS block, (shiftrightunsigned({fingerprint}, {at}) & {(1 << bits) - 1}L) ^ m AS value))"))
+    return F.explode(F.concat(*parts))
 
 
 def similarity(a: str, b: str) -> Column:
     """Shared over united weight of two arrays of strings, repeats counted."""
-    shared = f"aggregate(array_distinct({b}), 0, (n, s) -> n + least(size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))"
-    return F.expr(f"CAST({shared} AS DOUBLE) / CAST(size({a}) + size({b}) - {shared} AS DOUBLE)")
+    plain = f"size(array_distinct({a})) = size({a}) AND size(array_distinct({b})) = size({b})"
+    repeats = f"aggregate(array_distinct({b}), 0, (n, s) -> n + least(size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))"
+    shared = f"CASE WHEN {plain} THEN size(array_intersect({a}, {b})) ELSE {repeats} END"
+    return F.expr(f"aggregate(array({shared}), 0D, (none, shared) -> CAST(shared AS DOUBLE) / CAST(size({a}) + size({b}) - shared AS DOUBLE))")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def possible_windows(text: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, row_hash, windows): for each document its windows (first, wide, k) that hold enough shingles of items."""
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
+    own = None
+    for k in sizes:
+        part = items.where(F.col("k") == k).select("wide", "k", F.explode(word_hashes("iw", k)).alias("h")).distinct()
+        own = part if own is None else own.unionByName(part)
+    spread = text.select("id", "row_hash", words(F.col("text")).alias("w"))
+    # all lengths of shingles in one pass over the words
+    hashed = [F.expr("transform({}, (h, i) -> struct({} AS k, h AS h, i AS at))".format(word_hashes_sql("w", k), k)) for k in sizes]
+    spread = spread.select("id", "row_hash", F.size("w").alias("n"), F.explode(F.concat(*hashed)).alias("x")).select("id", "row_hash", "n", "x.k", "x.h", "x.at")
+    met = spread.join(small(own), ["k", "h"]).groupBy("id", "row_hash", "n", "wide", "k").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # shingles of the window and of the item, and the fewest that both share
+    both = "(least(n, wide) + wide - 2 * k + 2)"
+    met = met.withColumn("need", F.expr(f"greatest(1, CAST(ceil({both} * {threshold / (1 + threshold)!r}D - 1e-9D) AS INT))"))
+    reach = "sequence(greatest(0, get(at, i + need - 1) - (least(n, wide) - k)), least(get(at, i), greatest(0, n - wide)))"
+    enough = "get(at, i + need - 1) - get(at, i) <= least(n, wide) - k AND greatest(0, get(at, i + need - 1) - (least(n, wide) - k)) <= least(get(at, i), greatest(0, n - wide))"
+    starts = f"array_distinct(flatten(transform(filter(sequence(0, size(at) - need), i -> {enough}), i -> {reach})))"
+    found = met.where("size(at) >= need").select("id", "row_hash", F.explode(F.expr(starts)).alias("first"), "wide", "k")
+    return found.groupBy("id", "row_hash").agg(F.collect_list(F.struct("first", "wide", "k")).alias("windows"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Rows (id, row_hash, item, similarity, first_word, n_words): leaked items by document."""
     items = benchmark.select(F.col(item_col).alias("item"), words(whole_text(item_text)).alias("iw")).where("size(iw) > 0").distinct()
-    items = items.withColumn("item_words", F.size("iw")).withColumn("k", F.least(F.lit(SHINGLE), F.col("item_words"))).withColumn("item_shingles", shingles("iw", "k"))
+    items = items.withColumn("wide", F.size("iw")).withColumn("k", F.least(F.lit(SHINGLE), F.col("wide"))).withColumn("item_shingles", shingles("iw", "k"))
     items = settled(items.withColumn("item_fp", simhash("item_shingles")))
-    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE values
-
     text = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).withColumn("row_hash", F.xxhash64("text"))
-    found = None
-    for k in sizes:
-        own = items.where(F.col("k") == k).select("item", "item_words", F.posexplode(word_hashes("iw", k)).alias("item_at", "h"))
-        own = own.withColumnRenamed("item_words", "wide")
-        spread = text.select("id", "row_hash", words(F.col("text")).alias("w"))
-        spread = spread.select("id", "row_hash", F.size("w").alias("n"), F.posexplode(word_hashes("w", k)).alias("at", "h"))
-        met = spread.join(small(own), "h").select("id", "row_hash", "item", F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("wide"))).alias("first"), "wide")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        found = text.select("id", "row_hash", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("first"), F.lit(0).alias("wide")).limit(0)
-    anchors = settled(found.distinct())
-
-    # one row per document that has anchors; its windows are cut out of its words
-    by_document = settled(anchors.groupBy("id", "row_hash").agg(F.collect_list(F.struct("item", "first", "wide")).alias("windows")))
+    if items.isEmpty():
+        none = items.schema["item"].dataType
+        return text.limit(0).select("id", "row_hash", F.lit(None).cast(none).alias("item"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"))
+
+    # one row per document that has windows, which are cut out of its words
+    by_document = settled(possible_windows(text, items, threshold))
     known = by_document.withColumnsRenamed({"id": "of", "row_hash": "of_hash"})
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("of_hash"))
     cut = text.join(small(known), same).select("id", "row_hash", "windows", words(F.col("text")).alias("w")).dropDuplicates(["id", "row_hash"])
-    cut = cut.select("id", "row_hash", F.explode(F.expr("transform(windows, x -> struct(x.item AS item, x.first AS first, slice(w, x.first + 1, x.wide) AS ww))")).alias("x")).select("id", "row_hash", "x.*")
-
-    windows = cut.join(small(items.select("item", "k").distinct()), "item").withColumn("window_shingles", shingles("ww", "k")).withColumn("n_words", F.size("ww"))
-    windows = settled(windows.withColumn("fp", simhash("window_shingles")).drop("ww", "k"))
-    index = items.select("item", "item_fp", F.posexplode(blocks("item_fp", radius)).alias("block", "value"))
-    probes = windows.select("id", "row_hash", "item", "first", "fp", F.posexplode(blocks("fp", radius)).alias("block", "value"))
-    near = probes.join(small(index), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = settled(near.select("id", "row_hash", "item", "first").distinct())
-    near = near.withColumnsRenamed({"id": "near_id", "row_hash": "near_hash", "item": "near_item", "first": "near_first"})
-    within = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("row_hash") == F.col("near_hash")) & (F.col("item") == F.col("near_item")) & (F.col("first") == F.col("near_first"))
-    candidates = windows.join(small(near), within, "left_semi").join(small(items.select("item", "item_shingles")), "item")
+    cut = cut.select("id", "row_hash", F.explode(F.expr("transform(windows, x -> struct(x.first AS first, x.wide AS wide, x.k AS k, slice(w, x.first + 1, x.wide) AS ww))")).alias("x")).select("id", "row_hash", "x.*")
+    windows = cut.withColumn("window_shingles", shingles("ww", "k")).withColumn("n_words", F.size("ww")).withColumn("fp", simhash("window_shingles")).drop("ww", "k")
+    windows = settled(windows)
+
+    index = settled(items.select("item", "wide", "item_fp", indexed("item_fp", radius, blocks).alias("b")).select("item", "wide", "item_fp", "b.*"))
+    probes = windows.select("id", "row_hash", "first", "wide", "fp", F.posexplode(looked_up("fp", radius, blocks)).alias("block", "value"))
+    near = probes.join(small(index), ["wide", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = settled(near.select("id", "row_hash", "first", "wide", "item").distinct())
+    near = near.withColumnsRenamed({"id": "near_id", "row_hash": "near_hash", "first": "near_first", "wide": "near_wide"})
+    within = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("row_hash") == F.col("near_hash")) & (F.col("first") == F.col("near_first")) & (F.col("wide") == F.col("near_wide"))
+    candidates = windows.join(small(near), within).join(small(items.select("item", "item_shingles")), "item")
     scored = candidates.withColumn("similarity", similarity("window_shingles", "item_shingles")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words"))
     return scored.groupBy("id", "row_hash", "item").agg(best.alias("b")).select("id", "row_hash", "item", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("first_word"), F.col("b.n_words").alias("n_words"))
@@ -140,24 +182,21 @@ ishingle AS (
 ), dshingle AS (
   SELECT doc_id, len(w) AS n, k, p, array_to_string(w[p + 1 : p + k], ' ') AS s
   FROM (SELECT d.*, ks.k, unnest(range(0, greatest(len(w) - ks.k + 1, 0))) AS p FROM d, ks)
-), anchors AS (
-  SELECT DISTINCT d.doc_id, i.item_id, greatest(0, least(d.p - i.p, d.n - i.n)) AS first, i.n AS wide, i.k
-  FROM dshingle d JOIN ishingle i ON d.s = i.s AND d.k = i.k
+), met AS (
+  SELECT d.doc_id, i.item_id, i.k, i.n AS wide, d.n, d.p, d.s FROM dshingle d
+  JOIN (SELECT DISTINCT item_id, k, n, s FROM ishingle) i ON d.s = i.s AND d.k = i.k
 ), windows AS (
-  SELECT a.*, d.w[first + 1 : first + wide] AS ww FROM anchors a JOIN d USING (doc_id)
-), wshingle AS (
-  SELECT doc_id, item_id, first, array_to_string(ww[p + 1 : p + k], ' ') AS s
-  FROM (SELECT *, unnest(range(0, len(ww) - k + 1)) AS p FROM windows)
+  -- every window of the item's size that holds the shingle
+  SELECT doc_id, item_id, k, n, wide, s, unnest(range(greatest(0, p - (least(n, wide) - k)), least(p, greatest(0, n - wide)) + 1)) AS first FROM met
 ), wcount AS (
-  SELECT doc_id, item_id, first, s, count(*) AS n FROM wshingle GROUP BY ALL
+  SELECT doc_id, item_id, k, n, wide, first, s, count(*) AS c FROM windows GROUP BY ALL
 ), icount AS (
-  SELECT item_id, s, count(*) AS n FROM ishingle GROUP BY ALL
+  SELECT item_id, s, count(*) AS c FROM ishingle GROUP BY ALL
 ), shared AS (
-  SELECT doc_id, item_id, first, sum(least(w.n, i.n)) AS shared FROM wcount w JOIN icount i USING (item_id, s) GROUP BY ALL
+  SELECT doc_id, item_id, k, n, wide, first, sum(least(w.c, i.c)) AS shared FROM wcount w JOIN icount i USING (item_id, s) GROUP BY ALL
 ), scored AS (
-  SELECT s.doc_id, s.item_id, s.first, len(w.ww) AS n_words,
-         CAST(shared AS DOUBLE) / CAST((len(w.ww) - w.k + 1) + (ik.n - ik.k + 1) - shared AS DOUBLE) AS similarity
-  FROM shared s JOIN windows w USING (doc_id, item_id, first) JOIN ik USING (item_id)
+  SELECT doc_id, item_id, first, least(n, wide) AS n_words,
+         CAST(shared AS DOUBLE) / CAST((least(n, wide) - k + 1) + (wide - k + 1) - shared AS DOUBLE) AS similarity FROM shared
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) AS r FROM scored WHERE similarity >= 0.8
 )

@@ -358,6 +358,53 @@ def test_top_k(spark, monkeypatch):
 # --- 7 ---
 
 
+def best_windows(text, item):
+    """(similarity, first word) of the best window of the item's size, over all windows."""
+    cut = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    w, own = re.findall(r"\w+", text.lower()), cut(re.findall(r"\w+", item.lower()))
+    best = (0.0, 0)
+    for at in range(max(1, len(w) - len(own) - 3)):
+        window = cut(w[at : at + len(own) + 4])
+        shared = sum(min(window.count(x), own.count(x)) for x in set(own))
+        found = shared / (len(window) + len(own) - shared)
+        best = (found, at) if found > best[0] else best
+    return best
+
+
+def test_every_window_of_an_items_size_is_searched(spark):
+    rng = random.Random(4)
+    items = [prose(2000 + i, n) for i, n in enumerate((100, 100, 60, 120, 40))]
+    texts = []
+    for i, item in enumerate(items):
+        w = item.split()
+        half = len(w) // 2
+        swapped, dropped = w[half:] + w[:half], w[: half - 2] + w[half:]
+        inserted = w[:half] + ["new", "words"] + w[half:]
+        thirds = w[2 * len(w) // 3 :] + w[: len(w) // 3] + w[len(w) // 3 : 2 * len(w) // 3]
+        for part in (swapped, dropped, inserted, thirds, w[: half - 8] + ["gone"] * 20 + w[half + 12 :]):
+            texts.append(" ".join([prose(3000 + 10 * i, rng.randint(0, 200)), *part, prose(3500 + i, rng.randint(0, 200))]))
+    want = {}
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            best = best_windows(text, item)
+            if best[0] >= 0.8:
+                want[i, j] = best
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.leaks(frame(spark, texts), benchmark).collect()
+    assert {(r["id"], r["item"]): (r["similarity"], r["first_word"]) for r in rows} == want and len(want) >= 12
+    assert (0, 0) in want  # the swapped halves
+
+
+@pytest.mark.parametrize("radius,blocks", [(19, 6), (3, 4), (0, 6), (11, 5)])
+def test_blocks_meet_within_the_radius(radius, blocks):
+    parts = decontaminate.cut_into_blocks(radius, blocks)
+    assert sum(bits for _, bits, _ in parts) == 64 and sum(errors + 1 for *_, errors in parts) == radius + 1
+    rng = random.Random(radius)
+    for _ in range(2000):
+        mask = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any((mask >> at & (1 << bits) - 1).bit_count() <= errors for at, bits, errors in parts)
+
+
 def test_leaks(spark):
     item, short = prose(20, 30), "alone together now"
     benchmark = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, short), (5, prose(21, 40))], "item_id long, text string")
