@@ -11,19 +11,27 @@ the prediction, with that member's proportion as the score.
 a grouped sum; the model has ``BUCKETS`` rows per language, so its size depends
 on the number of languages only.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; so is
+*Rejection* (``keep_identified`` with ``only_known``).  A background in which all buckets are
+equally likely competes with the sets of languages at the price of one more language.
+If it wins, the text is in no known language.
+
+Defined cases: a null text or one without a letter (Unicode category L; numerals and
+signs are none) is ``und`` with score 0; so is
 everything if nothing was learned; ties go to the language first by name;
-repeated rows give repeated results; other columns are ignored.
+repeated rows give repeated results; a null id stays null and is in the training fold
+(``held_out`` is false); an empty table gives an empty result; other columns are ignored.
+``LEAST_SHARE``, ``PENALTY`` and the greedy order decide which minor languages are in
+the set; none can change which language is first but by the fit itself.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +44,7 @@ LEAST_SHARE = 0.02
 #: Times log(n) that each further language costs.
 PENALTY = 4.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -54,13 +62,14 @@ class LanguageModel:
     prior: np.ndarray
     theta: np.ndarray  # BUCKETS x languages
 
-    def infer(self, text: str | None) -> list[tuple[str, float]]:
-        """The chosen languages and their proportions, largest first; empty for ``und``."""
+    def explained(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
+        """The chosen languages with their proportions, largest first, and how far their penalised fit is
+        above the background's; an empty list for ``und``."""
         if not text or not self.languages or not _LETTER.search(text):
-            return []
+            return [], 0.0
         buckets, counts = np.unique(trigram_buckets(text), return_counts=True)
         if not len(buckets):
-            return [(self.languages[int(np.argmax(self.prior))], float(self.prior.max()))]
+            return [(self.languages[int(np.argmax(self.prior))], float(self.prior.max()))], 0.0
         theta, counts = self.theta[buckets], counts.astype(np.float64)
         shares, _ = _mixture(theta, counts, np.full(len(self.languages), 1 / len(self.languages)), ITERATIONS)
         order = np.argsort(-shares, kind="stable")
@@ -71,12 +80,21 @@ class LanguageModel:
             chosen = order[:size]
             start = shares[chosen] / shares[chosen].sum()
             own, fit = _mixture(theta[:, chosen], counts, start, 1 if size == 1 else ITERATIONS)
-            if fit - cost * size <= best:
+            if fit - cost * (size - 1) <= best:
                 break
-            best, kept = fit - cost * size, (chosen, own)
+            best, kept = fit - cost * (size - 1), (chosen, own)
         chosen, own = kept
         rank = sorted(range(len(chosen)), key=lambda i: (-own[i], self.languages[chosen[i]]))
-        return [(self.languages[chosen[i]], float(min(1.0, own[i]))) for i in rank]
+        return [(self.languages[chosen[i]], float(min(1.0, own[i]))) for i in rank], best - (counts.sum() * -np.log(BUCKETS) - cost)
+
+    def infer(self, text: str | None) -> list[tuple[str, float]]:
+        """The chosen languages and their proportions, largest first; empty for ``und``."""
+        return self.explained(text)[0]
+
+    def known(self, text: str | None) -> bool:
+        """Whether the text has a language and the languages explain it better than the background."""
+        languages, above = self.explained(text)
+        return bool(languages) and above >= 0
 
 
 def _mixture(theta: np.ndarray, counts: np.ndarray, shares: np.ndarray, iterations: int) -> tuple[np.ndarray, float]:
@@ -135,18 +153,19 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(df: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, columns as they were, in one pass over whole texts."""
+def keep_identified(df: DataFrame, model: LanguageModel, *, text_col: str = "text", only_known: bool = False) -> DataFrame:
+    """The rows whose text has a language (is in known languages), columns as they were, in one pass over whole texts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([bool(model.infer(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([(model.known if only_known else model.infer)(t) not in (False, []) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """A fifth of all ids; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

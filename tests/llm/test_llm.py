@@ -460,6 +460,43 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).taken().count() == 0
 
 
+def test_shards_draw_their_sources(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, prose(i, rng.randint(1, 60)), "abcdefg"[i * i % 7]) for i in range(300)], "doc_id long, text string, source string")
+    plan = mixing.mix(df, block=4, shard_slots=16)
+    sources = {r["source_no"]: r for r in plan.sources.collect()}
+    counts = [(r["shard"], r["source_no"], r["whole"], r["drawn"]) for r in plan.counts.collect()]
+    shards = max(c[0] for c in counts) + 1
+    n = round(sum(r["share"] for r in sources.values()))
+    assert shards == -(-n // 16) > 100
+    by_shard = [sum(w + d for h, _, w, d in counts if h == shard) for shard in range(shards)]
+    assert by_shard == [16] * (shards - 1) + [n - 16 * (shards - 1)]
+    for no, r in sources.items():
+        x = r["share"] * 16 / sum(q["share"] for q in sources.values())
+        full = [(w, d) for h, s, w, d in counts if s == no and h < shards - 1]
+        assert {w for w, _ in full} == {int(x)}
+        drawn = [d for _, d in full]
+        mean, spread = np.mean(drawn), np.var(drawn)
+        assert abs(mean - x % 1) < 5 * (x % 1 / len(full)) ** 0.5 + 1e-9
+        assert x % 1 < 0.05 or 0.4 * (x % 1) * (1 - (x % 1)) < spread < 2 * (x % 1) + 0.05
+    # taken is what the slots hold
+    slots = plan.slots.collect()
+    held = {}
+    for r in slots:
+        held[r["source_no"], r["block_no"]] = held.get((r["source_no"], r["block_no"]), 0) + 1
+        assert r["j"] < 3 * sources[r["source_no"]]["blocks"]
+    assert max(held.values()) <= 3 and len({(r["source_no"], r["j"]) for r in slots}) == len(slots)
+    want = {}
+    for r in plan.pieces.collect():
+        want[r["id"]] = want.get(r["id"], 0) + r["n_words"] * held.get((r["source_no"], r["block_no"]), 0)
+    got = {r["id"]: r["taken"] for r in plan.taken().collect()}
+    assert got == want
+    # other seeds draw other counts
+    other = mixing.mix(df, block=4, shard_slots=16, seed=7)
+    assert sorted((r["shard"], r["source_no"], r["whole"], r["drawn"]) for r in other.counts.collect()) != sorted(counts)
+    assert {r["id"]: r["taken"] for r in mixing.mix(df.repartition(7), block=4, shard_slots=16).taken().collect()} == got
+
+
 def test_permutations(spark):
     for n in (1, 2, 3, 17, 256, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("y"))
@@ -484,6 +521,62 @@ def test_languages(spark, sf_dir):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(4, 12))
 
 
+def brute_mixture(theta, counts, steps):
+    """Expectation-maximisation in plain Python over single trigrams."""
+    n = len(theta[0])
+    shares = [1 / n] * n
+    for _ in range(steps):
+        owned = [0.0] * n
+        for row, c in zip(theta, counts, strict=True):
+            whole = sum(p * t for p, t in zip(shares, row, strict=True))
+            for i in range(n):
+                owned[i] += c * shares[i] * row[i] / whole
+        shares = [o / sum(counts) for o in owned]
+    return shares, sum(c * np.log(sum(p * t for p, t in zip(shares, row, strict=True))) for row, c in zip(theta, counts, strict=True))
+
+
+def test_mixture_inference_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(language_id, "ITERATIONS", 200)
+    rng = np.random.default_rng(5)
+    theta = rng.dirichlet(np.full(language_id.BUCKETS, 0.05), 3).T + 1e-9
+    model = language_id.LanguageModel(("aa", "bb", "cc"), np.full(3, 1 / 3), theta / theta.sum(axis=0))
+    for seed in range(8):
+        text = prose(seed + 60, 40 + 30 * seed)
+        buckets, counts = np.unique(language_id.trigram_buckets(text), return_counts=True)
+        own = model.theta[buckets].tolist()
+        shares, _ = brute_mixture(own, counts.tolist(), 400)
+        cost = language_id.PENALTY * np.log(counts.sum() + 1)
+        best = None
+        for size in range(1, 4):
+            chosen = sorted(range(3), key=lambda i: -shares[i])[:size]
+            part, fit = brute_mixture([[row[i] for i in chosen] for row in own], counts.tolist(), 400)
+            if best is not None and fit - cost * (size - 1) <= best[0]:
+                break
+            best = (fit - cost * (size - 1), {model.languages[i]: p for i, p in zip(chosen, part, strict=True)})
+        got = dict(model.infer(text))
+        assert set(got) == set(best[1]) and all(abs(got[k] - v) < 0.01 for k, v in best[1].items())
+
+
+def test_letters_and_null_ids(spark):
+    training = frame(spark, [prose(i, 40) for i in range(20)])
+    model = language_id.fit(training)
+    texts = ["\u00bd 3", "\u00b2 \u00b2 \u00b2", "\u2163 \u2167", "12 _ 34", "x", None, prose(5, 30)]
+    df = frame(spark, texts, [1, 2, 3, 4, 5, 6, None])
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).select("*", language_id.held_out().alias("held_out")).collect()}
+    assert [got[i]["lang_pred"] for i in range(1, 7)] == ["und", "und", "und", "und", "en", "und"] and got[None]["lang_pred"] == "en"
+    assert got[None]["held_out"] is False and {r["held_out"] for r in got.values()} <= {True, False}
+    kept = {r["doc_id"] for r in language_id.keep_identified(df, model).collect()}
+    assert not kept & {1, 2, 3, 4, 6} and None in kept
+
+
+def test_unknown_languages_are_rejected(spark):
+    model = language_id.fit(frame(spark, [prose(i, 200) for i in range(40)]))
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("qxzjkvwpgb") for _ in range(7)) for _ in range(60))
+    texts = [prose(99, 3), prose(98, 100), noise, "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059", f"{prose(97, 80)} {noise[:40]}"]
+    assert [r["doc_id"] for r in language_id.keep_identified(frame(spark, texts), model, only_known=True).collect()] == [0, 1, 4]
+
+
 # --- 10 ---
 
 
