@@ -5,7 +5,7 @@ Parquet and read again as the next stage's documents.  All stages but the last
 return the columns of ``documents``.
 
 * ``language_id`` learns from the labelled training fold of its own documents, drops
-  documents without a language (null texts, texts without a letter) and keeps
+  documents without a language (null texts, texts without a letter) or in none that it learned and keeps
   the rest as they are.
 * ``near_dedup`` keeps the document with the least id of each group.
 * ``decontaminate`` drops documents that hold a benchmark item.
@@ -30,7 +30,7 @@ from planloom.llm.tables import shared_folder, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.fit(docs.where(~languages.held_out()))
-    return languages.keep_identified(docs, model)
+    return languages.keep_identified(docs, model, only_known=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
