@@ -94,7 +94,7 @@ class LanguageModel:
     def known(self, text: str | None) -> bool:
         """Whether the text has a language and the languages explain it better than the background."""
         languages, above = self.explained(text)
-        return bool(languages) and above >= 0
+        return bool(languages) and bool(above >= 0)
 
 
 def _mixture(theta: np.ndarray, counts: np.ndarray, shares: np.ndarray, iterations: int) -> tuple[np.ndarray, float]:
@@ -161,7 +161,7 @@ def keep_identified(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([(model.known if only_known else model.infer)(t) not in (False, []) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.known(t) if only_known else bool(model.infer(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
 
