@@ -427,16 +427,17 @@ def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
     unique = settled(found.groupBy("node").agg(F.min(F.struct("id", "mark", "n", "sketch", *names)).alias("m")).select("node", "m.*"))
     owners = unique.select("node", "id", "mark")
     cut = place_cut(unique, shape, tuple(names))
-    edges, labels = None, None
+    edges, labels, rows = None, None, unique.withColumn("component", F.col("node"))
     for thin in (True, False):
-        known = F.col("node") if labels is None else F.coalesce("component", "node")
-        rows = unique if labels is None else unique.join(labels, "node", "left")
-        pairs = settled(similar_links(rows.withColumn("component", known), cut, thin=thin))
+        pairs = settled(similar_links(rows, cut, thin=thin))
         if pairs.isEmpty():
             break
+        if thin:  # a forest touches every node that has a link at all; no other is dealt again
+            linked = settled(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         near = settled(similar_texts.verified(pairs, texts, owners))
         edges = near if edges is None else edges.unionByName(near)
         labels = components(edges)
+        rows = unique.join(linked, "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if labels is None:
         return owners.select("id", "mark")
     groups = owners.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))

@@ -20,7 +20,7 @@ WORDS, SEED = 5, 42
 #: The similarity as a fraction.
 SHARED, OF = 4, 5
 #: Bits of a sketch; bytes of a text that are hashed at once.
-SKETCH, PIECE = 512, 1 << 20
+SKETCH, PIECE = 256, 1 << 20
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
 
