@@ -6,13 +6,15 @@ menu, footer, sidebar, form, notice, advert, comment list, script ...), *article
 
 1. Within a host, distinct pages are put in order of their URL path and each is
    paired with the neighbour whose path has the longer common start.
-2. The lines of a pair are aligned by a longest common subsequence.
+2. All lines of a pair, chrome and article too, are aligned by a longest common subsequence.
 3. Shared lines are deleted, except within an article: a passage that two articles
-   share is theirs.  If nearly all of a page is shared (``COPY_SHARE``) the pair is
-   a page and its copy, not a template, and nothing is deleted.
+   share is theirs.  If the two share nearly all their text (``COPY_SHARE``), they are either
+   mostly template or copies of each other: then the neighbour on the other side (at the
+   end of a host, the partner's) decides, and the lines go that it shares too.
 
-What is left, without chrome, is the text: if the page has an article, its article
-lines, else its open lines.
+The markup settles what differencing can't: what is left of chrome (lines no other page has) goes,
+and if the page has an article, its text is the article lines, else the open lines.
+``differenced`` tells how many lines differencing deletes.
 
 Differencing moves hashes of lines only.  The order within a host comes from range
 partitions plus the ends of each partition, so a host with a large part of all
@@ -73,23 +75,29 @@ def _names_chrome(attributes: str, words: frozenset[str]) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
-    """The page's lines as (area, text), chrome left out."""
+    """The page's lines as (area, text), chrome included."""
     lines: list[tuple[int, str]] = []
     parts: list[str] = []
+    hidden: list[str] = []
     stack: list[tuple[str, int]] = []
     area, at, lower = _OPEN_AREA, 0, None
+    shown = area
     unclosed: set[str] = set()
 
     def flush() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
+        # chrome within a line is a line of its own
+        for held, where in ((parts, shown), (hidden, _CHROME_AREA)):
+            text = " ".join("".join(held).split()) if held else ""
             if text:
-                lines.append((area, text))
-            parts.clear()
+                lines.append((where, text))
+            held.clear()
 
     def say(raw: str) -> None:
-        if area != _CHROME_AREA and raw:
-            parts.append(html.unescape(raw) if "&" in raw else raw)
+        nonlocal shown
+        if raw:
+            if area != _CHROME_AREA:
+                shown = area
+            (parts if area != _CHROME_AREA else hidden).append(html.unescape(raw) if "&" in raw else raw)
 
     while True:
         token = _TOKEN.search(page, at)
@@ -150,6 +158,15 @@ def main_text(page: str | None, deleted: Iterable[int] = ()) -> str:
     return "\n".join(text for i, (area, text) in enumerate(lines) if area == wanted and i not in gone)
 
 
+def deletable(areas: list[int], sizes: list[int], mine: list[int], others: list[int], beyond: list[int] | None) -> list[int]:
+    """Places of the lines that differencing deletes: shared with the nearest page, not of an article."""
+    shared = shared_lines(mine, others)
+    if sum(sizes[i] for i in shared if areas[i] != _CHROME_AREA) > COPY_SHARE * sum(n for a, n in zip(areas, sizes, strict=True) if a != _CHROME_AREA):
+        both = set(shared_lines(mine, beyond)) if beyond is not None else ()
+        shared = [i for i in shared if i in both or areas[i] == _CHROME_AREA]
+    return [i for i in shared if areas[i] != _ARTICLE_AREA]
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence of both."""
     start = 0
@@ -190,11 +207,11 @@ def _place(url: str | None) -> tuple[str | None, str]:
 
 
 def deleted_lines(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
-    """Rows (row_key, deleted): the open lines of each page that its nearest page shares."""
+    """Rows (row_key, deleted, n_lines, n_deleted): the lines of each page that differencing deletes; ``deleted`` are those that are no chrome."""
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, paths, hashes, opened, sizes = [], [], [], [], [], []
+            keys, hosts, paths, hashes, areas, sizes = [], [], [], [], [], []
             for key, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = page_lines(page or "")
                 host, path = _place(url)
@@ -202,11 +219,11 @@ def deleted_lines(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                 hosts.append(host)
                 paths.append(path)
                 hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in lines])
-                opened.append([i for i, (area, _) in enumerate(lines) if area == _OPEN_AREA])
+                areas.append([area for area, _ in lines])
                 sizes.append([len(t) for _, t in lines])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], names=["row_key", "host", "path", "hashes", "opened", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(areas, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], names=["row_key", "host", "path", "hashes", "areas", "sizes"])
 
-    parsed = settled(pages.select("row_key", url_col, html_col).mapInArrow(parse, "row_key bigint, host string, path string, hashes array<bigint>, opened array<int>, sizes array<int>"))
+    parsed = settled(pages.select("row_key", url_col, html_col).mapInArrow(parse, "row_key bigint, host string, path string, hashes array<bigint>, areas array<int>, sizes array<int>"))
     content = F.xxhash64("hashes").alias("content")
     # copies within a host stand as one page, under their first path
     distinct = parsed.groupBy("host", content).agg(F.min(F.struct("path", "row_key")).alias("m")).select("host", "content", "m.path", F.col("m.row_key").alias("row_key"))
@@ -227,33 +244,51 @@ def deleted_lines(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
         return F.when(usable, F.when((F.length("path") > 0) & (F.length(f"{side}.path") > 0), same).otherwise(F.lit(0))).otherwise(F.lit(-1))
 
     rows = rows.withColumn("c_before", common("before")).withColumn("c_after", common("after")).where("c_before >= 0 OR c_after >= 0")
-    partner = F.when(F.col("c_after") > F.col("c_before"), F.col("after.row_key")).otherwise(F.col("before.row_key"))
-    pairs = rows.select("host", "content", partner.alias("partner"))
-    own = parsed.where("size(opened) > 0").withColumn("content", content).select("row_key", "host", "content", "hashes", "opened", "sizes")
-    met = own.join(pairs.withColumnRenamed("host", "p_host").withColumnRenamed("content", "p_content"), F.col("host").eqNullSafe(F.col("p_host")) & (F.col("content") == F.col("p_content")))
-    others = parsed.select(F.col("row_key").alias("partner"), F.col("hashes").alias("others")).dropDuplicates(["partner"])
-    met = met.join(others, "partner").select("row_key", "hashes", "opened", "sizes", "others")
+    nearer = F.col("c_after") > F.col("c_before")
+    partner = F.when(nearer, F.col("after.row_key")).otherwise(F.col("before.row_key"))
+    # whoever else is next to the page, or to its partner
+    side = {x: F.when(F.col(f"c_{x}") >= 0, F.col(f"{x}.row_key")) for x in ("before", "after")}
+    rows = rows.select("row_key", F.col("host").alias("p_host"), F.col("content").alias("p_content"), partner.alias("partner"), F.when(nearer, side["before"]).otherwise(side["after"]).alias("across"), *(c.alias(x) for x, c in side.items()))
+    around = rows.select(F.col("row_key").alias("partner"), F.col("before").alias("b"), F.col("after").alias("a"))
+    pairs = rows.drop("before", "after").join(around, "partner", "left")
+    other = F.coalesce("across", F.when(F.col("b") != F.col("row_key"), F.col("b")), F.when(F.col("a") != F.col("row_key"), F.col("a")))
+    pairs = pairs.select("p_host", "p_content", "partner", other.alias("other"))
+    own = parsed.where("size(hashes) > 0").withColumn("content", content)
+    met = own.join(pairs, F.col("host").eqNullSafe(F.col("p_host")) & (F.col("content") == F.col("p_content")))
+    lines = distinct.select("row_key").join(parsed.select("row_key", "hashes"), "row_key").dropDuplicates(["row_key"])
+    met = met.join(lines.select(F.col("row_key").alias("partner"), F.col("hashes").alias("others")), "partner")
+    met = met.join(lines.select(F.col("row_key").alias("other"), F.col("hashes").alias("beyond")), "other", "left").select("row_key", "areas", "sizes", "hashes", "others", "beyond")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, gone = [], []
-            for key, mine, opened, sizes, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shared = shared_lines(mine, others)
-                if sum(sizes[i] for i in shared) > COPY_SHARE * sum(sizes):
-                    continue
-                found = sorted(set(shared) & set(opened))
+            keys, gone, counts, deleted = [], [], [], []
+            for key, areas, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = deletable(areas, *rest)
                 if found:
                     keys.append(key)
-                    gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["row_key", "deleted"])
+                    gone.append([i for i in found if areas[i] == _OPEN_AREA])
+                    counts.append(len(areas))
+                    deleted.append(len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(counts, pa.int32()), pa.array(deleted, pa.int32())], names=["row_key", "deleted", "n_lines", "n_deleted"])
+
+    return met.mapInArrow(align, "row_key bigint, deleted array<int>, n_lines int, n_deleted int").dropDuplicates(["row_key"])
+
+
+def _keyed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return df.select(F.col(id_col), F.col(url_col), F.col(html_col), F.xxhash64(id_col, url_col, html_col).alias("row_key"))
+
 
-    return settled(met.mapInArrow(align, "row_key bigint, deleted array<int>").dropDuplicates(["row_key"]))
+def differenced(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Rows (id, n_lines, n_deleted) of the pages of which differencing deletes lines, chrome or not."""
+    pages = _keyed(df, id_col, url_col, html_col)
+    return pages.select(id_col, "row_key").join(deleted_lines(pages, html_col, url_col), "row_key").select(id_col, "n_lines", "n_deleted")
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars), one per page."""
-    pages = df.select(F.col(id_col), F.col(url_col), F.col(html_col), F.xxhash64(id_col, url_col, html_col).alias("row_key"))
-    deleted = deleted_lines(pages, html_col, url_col)
+    pages = _keyed(df, id_col, url_col, html_col)
+    # chrome goes by the markup in any case: only other deletions return to the pages
+    deleted = settled(deleted_lines(pages, html_col, url_col).where("size(deleted) > 0").select("row_key", "deleted"))
     deleted = F.broadcast(deleted) if deleted.count() <= BROADCAST_ROWS else deleted.hint("merge")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
