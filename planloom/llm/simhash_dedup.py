@@ -87,7 +87,7 @@ class Shape:
 
 
 CLOSE = Shape(3, 2, (8, 12, 16, 20, 24, 28, 32))
-WIDE = Shape(15, 16, (4, 8, 12), 16_384)
+WIDE = Shape(15, 16, (4, 8, 12), 1 << 20)
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once; leaf pairs compared at once; rows of whole nodes held at once.
 FEW_LEAVES, WALKED, COMPARED, HELD = 64, 1 << 18, 1 << 20, 1 << 18
 
@@ -379,7 +379,7 @@ def near_duplicates(df: DataFrame, shape: Shape = CLOSE, *, id_col: str = "doc_i
 def similar_links(nodes: DataFrame, cut: Cut, *, thin: bool) -> DataFrame:
     """Distinct pairs (u, v) of ``nodes`` (node, n, sketch, component, fp0, fp1 ...) that may reach the similarity.
 
-    Some fingerprint of the two links and sizes and sketches allow it; pairs within one component are left out.
+    Some fingerprint of the two links, and sizes and sketches allow it; pairs within one component are left out.
     """
     shape = cut.shape
     names = [f"fp{i}" for i in range(FINGERPRINTS)]
@@ -395,8 +395,7 @@ def similar_links(nodes: DataFrame, cut: Cut, *, thin: bool) -> DataFrame:
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in whole_nodes(batches):
             at, fps, home, node, n, component = (met.column(c).to_numpy() for c in ("at", "fp", "home", "node", "n", "component"))
-            bits = similar_texts.sketches(met.column("sketch"))
-            test = similar_texts.may_reach(n.astype(np.int64), bits)
+            test = similar_texts.may_reach(n.astype(np.int64), similar_texts.sketches(met.column("sketch")))
             for u, v in walk(at, fps.view(np.uint64), home.astype(bool), node, shape, known=component, test=test, thin=thin):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))], names=["u", "v"])
 
@@ -418,8 +417,9 @@ def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 sketches.append(similar_texts.sketch(found))
-                # the product with an odd number, folded, is a hash of its own for the next fingerprint
-                fps.append([majority(h), majority((h * np.uint64(0x9E3779B97F4A7C15)) ^ ((h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)))])
+                own = [majority(x) for x in similar_texts.further_hashes(h, FINGERPRINTS + similar_texts.SIGNS)]
+                fps.append(own[:FINGERPRINTS])
+                sketches[-1] += np.array(own[FINGERPRINTS:], dtype=np.uint64).tobytes()
             fps = np.array(fps, dtype=np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *(pa.array(fps[:, i].copy()) for i in range(FINGERPRINTS))], names=["id", "mark", "node", "n", "sketch", *names])
 
