@@ -5,15 +5,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planloom.plans.errors import Rejected
+
 # Words that are keywords in a DDL script.
 DDL_WORDS = ("create", "table", "integer", "real", "text", "primary", "key", "references")
-RESERVED_HEADERS = frozenset("select from where group order by limit join on and or as table index values distinct having union".split())
+RESERVED_HEADERS = frozenset(
+    "alter analyze and as attach by case create delete detach distinct drop exists from group having in index insert join limit not null on or order pragma references "
+    "returning select table trigger union update vacuum values view where with".split()
+)
 
 
 def folded(column: Column | str) -> Column:
@@ -57,7 +63,7 @@ def singular(word: str) -> str:
     for ending, instead in (("ies", "y"), ("sses", "ss"), ("shes", "sh"), ("ches", "ch"), ("xes", "x"), ("zes", "z")):
         if word.endswith(ending) and len(word) > len(ending):
             return word[: -len(ending)] + instead
-    return word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 1 else word
+    return word[:-1] if word.endswith("s") and not word.endswith(("ss", "us")) and len(word) > 1 else word
 
 
 def plural(word: str) -> str:
@@ -88,7 +94,11 @@ def aliases(name: str) -> tuple[str, ...]:
     variants = [parts, (*parts[:-1], singular(last)), (*parts[:-1], plural(singular(last)))]
     found = [name.lower()]
     for v in variants:
-        found += [" ".join(v), "_".join(v), "-".join(v)]
+        found += [" ".join(v), "_".join(v), "-".join(v), "/".join(v)]
+    if len(parts) > 1 and last in ("id", "key", "identifier"):
+        # the entity is often made plural instead of the key, or both are
+        for entity, key in product(*({singular(w): 0, plural(singular(w)): 0} for w in parts[-2:])):
+            found += [" ".join((*parts[:-2], entity, key)), "_".join((*parts[:-2], entity, key))]
     if len(parts) > 1 and last == "id":
         found += [f"{' '.join(parts[:-1])} ids", f"{' '.join(parts[:-1])} number", f"{' '.join(parts[:-1])} key"]
     return tuple(dict.fromkeys(found))
@@ -136,6 +146,14 @@ def number(value) -> int | float | None:
     return found
 
 
+def required_number(value) -> int | float:
+    """As ``number``, but a cell without a number is rejected with a reason."""
+    found = number(value)
+    if found is None:
+        raise Rejected("numeric_conversion_error", str(value))
+    return found
+
+
 def number_column(column: Column | str) -> Column:
     """The same as a double, by native functions."""
     found = F.regexp_extract(F.regexp_replace(column, ",", ""), r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)

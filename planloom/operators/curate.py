@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from planloom.plans.errors import Rejected
 
 
+#: Rows of a frozen set, counted beforehand, up to which its keys are broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def key_of(*columns: str | Column) -> Column:
     """A 256-bit hash of the columns that tells null from empty and one column from the next."""
     parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (F.col(x) if isinstance(x, str) else x for x in columns)]
@@ -40,9 +44,10 @@ def conflict_audit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def exclude_conflicts(df: DataFrame, keys: list[str | Column], value: str, pos: str) -> DataFrame:
     """Drop rows whose value differs from the first of their key; equal repeats stay."""
-    first = df.groupBy(key_of(*keys).alias("_k")).agg(F.min(F.struct(pos, value)).alias("_m")).select("_k", F.col("_m")[value].alias("_value"))
-    kept = df.withColumn("_k", key_of(*keys)).join(first, "_k").where(F.col(value).eqNullSafe(F.col("_value")))
-    return kept.drop("_k", "_value")
+    narrow = df.select(key_of(*keys).alias("k"), F.col(pos).alias("at"), F.col(value).alias("own"))
+    first = narrow.groupBy("k").agg(F.min(F.struct("at", "own")).alias("m")).select("k", F.col("m.own").alias("value"))
+    agreed = narrow.join(first, "k").where(F.col("own").eqNullSafe(F.col("value"))).select("at")
+    return df.join(agreed, F.col(pos) == F.col("at"), "left_semi")
 
 
 def pair_keys(columns: dict[str, Column]) -> list[tuple[str, Column]]:
@@ -53,12 +58,15 @@ def pair_keys(columns: dict[str, Column]) -> list[tuple[str, Column]]:
 
 def contamination(df: DataFrame, frozen: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` plus ``matches``: the sorted names of pair keys that the frozen set also has."""
+    keys = dict(pair_keys(columns))
+    names = sorted(keys)
+    seen = {n: frozen.select(keys[n].alias(f"__k_{n}")).distinct().withColumn(f"__in_{n}", F.lit(True)) for n in names}
+    # frozen sets are small as a rule: then no row of df moves
+    few = frozen.count() <= BROADCAST_ROWS
     out = df
-    for name, key in pair_keys(columns):
-        seen = frozen.select(key.alias(f"_k_{name}")).distinct().withColumn(f"_in_{name}", F.lit(True))
-        out = out.withColumn(f"_k_{name}", key).join(seen, f"_k_{name}", "left")
-    names = sorted(n for n, _ in pair_keys(columns))
-    matches = F.filter(F.array(*[F.when(F.col(f"_in_{n}"), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    for n in names:
+        out = out.withColumn(f"__k_{n}", keys[n]).join(F.broadcast(seen[n]) if few else seen[n], f"__k_{n}", "left")
+    matches = F.filter(F.array(*[F.when(F.col(f"__in_{n}"), F.lit(n)) for n in names]), lambda x: x.isNotNull())
     return out.withColumn("matches", matches).select(*df.columns, "matches")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planloom.plans.errors import Rejected
-from planloom.plans.logical import LogicalQuery, from_struct
-from planloom.plans.sqlform import is_read_only, lower, normalize, render
+from planloom.plans.logical import PLAN_STRUCT, LogicalQuery, from_struct, to_struct
+from planloom.plans.sqlform import is_read_only, is_safe_context, lower, normalize, recover_literals, render
 
 METRICS = ("syntactically_valid", "executable", "exact_match", "execution_accuracy")
 FAILURES = ("unsafe_or_incomplete_output", "execution_error", "wrong_result", "correct_execution")
@@ -38,6 +38,8 @@ def execute(script: str | None, sql: str, path: str | None = None, row_limit: in
         if path:
             connection = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
         else:
+            if not is_safe_context(script or ""):
+                return None
             connection = sqlite3.connect(":memory:")
             connection.executescript(script or "")
         connection.execute("PRAGMA query_only = ON")
@@ -56,6 +58,12 @@ def execute(script: str | None, sql: str, path: str | None = None, row_limit: in
             connection.close()
 
 
+def validate(sql: str, script: str | None, path: str | None = None, require_rows: bool = True) -> tuple[bool, list[tuple]]:
+    """Whether a statement is one read-only SELECT that runs (and has rows), and its rows."""
+    rows = execute(script, sql, path)
+    return rows is not None and (bool(rows) or not require_rows), rows or []
+
+
 def equivalent(left: list[tuple] | None, right: list[tuple] | None, ordered: bool) -> bool:
     """Equal as lists, or as bags; 1 equals 1.0.  A failed side equals nothing."""
     if left is None or right is None:
@@ -104,6 +112,30 @@ def score_one(gold_sql: str, predicted_sql: str, script: str | None, path: str |
     return out
 
 
+def convert_one(sql: str, script: str | None, path: str | None = None, names: Iterable[str] = ()) -> dict:
+    """An outside statement as a plan: ``plan``, ``converted`` SQL, ``rewritten`` literals and ``reason``, null if it is accepted.
+
+    The plan's own SQL must return what the statement returns; rows are required.
+    """
+    out = {"plan": None, "converted": None, "rewritten": 0, "reason": None}
+    recovered, out["rewritten"] = recover_literals(sql, names)
+    try:
+        plan = lower(recovered)
+    except Rejected as rejected:
+        return out | {"reason": rejected.reason}
+    converted = render(plan)
+    gold, own = execute(script, sql, path), execute(script, converted, path)
+    if gold is None:
+        return out | {"reason": "original_execution_error"}
+    if own is None:
+        return out | {"reason": "converted_execution_error"}
+    if not equivalent(own, gold, "ORDER BY" in sql.upper()):
+        return out | {"reason": "execution_mismatch"}
+    if not gold:
+        return out | {"reason": "empty_result"}
+    return out | {"plan": to_struct(plan), "converted": converted}
+
+
 # --- many records ---
 
 _COMPONENT_STRUCT = "struct<" + ",".join(f"{c}:int" for c in (*COMPONENTS, "plan_match")) + ">"
@@ -111,10 +143,26 @@ _COMPONENT_STRUCT = "struct<" + ",".join(f"{c}:int" for c in (*COMPONENTS, "plan
 
 def zip_predictions(records: DataFrame, predictions: DataFrame, pos: str = "pos") -> DataFrame:
     """Records joined with predictions by position; positions must be the same on both sides."""
-    met = records.join(predictions.select(pos, F.col("prediction")), pos, "full_outer")
-    if records.count() != predictions.count():
-        raise Rejected("predictions_differ_in_number")
-    return met
+    own = records.select(pos, F.lit(1).alias("_n")).unionByName(predictions.select(pos, F.lit(-1).alias("_n")))
+    sides = own.groupBy(pos).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    odd = sides.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("surplus"), F.count_if((F.col("_n") != 0) | (F.col("_rows") != 2)).alias("odd")).first()
+    if odd["surplus"]:
+        raise Rejected("predictions_differ_in_number", str(odd["surplus"]))
+    if odd["odd"]:
+        raise Rejected("predictions_differ_in_position", str(odd["odd"]))
+    return records.join(predictions.select(pos, F.col("prediction")), pos)
+
+
+def convert(df: DataFrame, *, sql: str = "sql", script: str = "database_sql", names: str | None = None) -> DataFrame:
+    """``df`` plus ``plan``, ``converted``, ``rewritten`` and ``reason`` (``convert_one``).  ``names`` is an array of table and column names."""
+    added = T.StructType.fromDDL(f"plan {PLAN_STRUCT}, converted string, rewritten int, reason string")
+
+    def one(statement: str | None, database: str | None, known: list[str] | None) -> dict:
+        return convert_one(statement or "", database, names=known or ())
+
+    # replaying a database takes far longer than handing a row over
+    found = F.udf(one, added)(F.col(sql), F.col(script), F.col(names) if names else F.array().cast("array<string>"))
+    return df.withColumn("__converted", found).select(*df.columns, "__converted.*")
 
 
 def score(df: DataFrame, *, gold: str = "sql", prediction: str = "prediction", has_plan: bool = False) -> DataFrame:

@@ -131,12 +131,16 @@ def base_plans(roles: dict[str, str], rows: dict[str, list[dict]], variant: int
     return {name: plan.replace(family=name) for name, plan in plans.items()}
 
 
-def held_out(plan: LogicalQuery) -> bool:
-    """Four reserved combinations that training corpora leave out."""
-    return bool(
-        (plan.join_table and plan.aggregate == "SUM" and len(plan.predicates) > 1) or (plan.join_table and plan.distinct and plan.order_by)
-        or (plan.group_by and plan.limit and plan.aggregate == "AVG") or (plan.join_table and plan.connector == "OR" and plan.limit)
-    )
+def held_out(plan: LogicalQuery) -> str | None:
+    """The name of the combination that is reserved for evaluation, if the plan is one: training corpora leave them out."""
+    several = len(plan.predicates) > 1 and plan.connector == "AND"
+    reserved = {
+        "join_count_multi_filter": plan.join_table and plan.aggregate == "COUNT" and several,
+        "join_aggregate_multi_filter": plan.join_table and plan.aggregate in ("SUM", "AVG", "MIN", "MAX") and several,
+        "distinct_filter_limit": plan.distinct and plan.predicates and plan.limit is not None,
+        "group_filter": plan.group_by and plan.predicates,
+    }
+    return next((name for name, found in reserved.items() if found), None)
 
 
 def plan_key(plan: LogicalQuery) -> tuple:
@@ -153,7 +157,7 @@ def compose(roles: dict[str, str], rows: dict[str, list[dict]], count: int, seed
     found: dict[tuple, LogicalQuery] = {}
     for _ in range(count * 400):
         plan = _random_plan(roles, rows, rng)
-        if wanted[tier(plan)] and held_out(plan) == reserved and plan_key(plan) not in found:
+        if wanted[tier(plan)] and bool(held_out(plan)) == reserved and plan_key(plan) not in found:
             found[plan_key(plan)] = plan.replace(family=signature(plan))
             wanted[tier(plan)] -= 1
             if len(found) == count:

@@ -89,17 +89,15 @@ def linking_family_of(plan: str) -> Column:
 
 
 def signature_of(plan: str) -> Column:
-    operation = F.when(_many(plan, "group_by") > 0, "group").when(_has(plan, "aggregate"), F.lower(f"{plan}.aggregate")).when(F.col(f"{plan}.distinct"), "distinct").otherwise("project")
-    return F.concat_ws(
-        "_", F.lit("compose"), F.when(_has(plan, "join_table"), "join").otherwise("single"), operation, F.concat(F.lit("filter"), _many(plan, "filters").cast("string")),
-        F.when(_many(plan, "filters") > 1, F.lower(f"{plan}.filter_connector")), F.when(_has(plan, "order_by"), "order"), F.when(_has(plan, "limit"), "limit"),
-    )
+    operation = F.when(_many(plan, "group_by") > 0, "group_count").when(F.col(f"{plan}.distinct"), "distinct").when(_has(plan, "aggregate"), F.lower(f"{plan}.aggregate")).otherwise("select")
+    filters = F.when(_many(plan, "filters") > 0, F.concat(F.lit("filter"), _many(plan, "filters").cast("string"), F.lit("_"), F.lower(f"{plan}.filter_connector")))
+    return F.concat_ws("_", F.lit("compose"), F.when(_has(plan, "join_table"), "join").otherwise("single"), operation, filters, F.when(_has(plan, "order_by"), "order"), F.when(_has(plan, "limit"), "limit"))
 
 
 def tier_of(plan: str) -> Column:
-    traits = (_has(plan, "join_table"), _has(plan, "aggregate"), _many(plan, "group_by") > 0, F.coalesce(F.col(f"{plan}.distinct"), F.lit(False)), _many(plan, "filters") > 0, _many(plan, "filters") > 1, _has(plan, "order_by") | _has(plan, "limit"))
+    traits = (_has(plan, "join_table"), _many(plan, "filters") > 0, _many(plan, "filters") > 1, _many(plan, "group_by") > 0, _has(plan, "order_by"), _has(plan, "limit"))
     n = sum((t.cast("int") for t in traits), F.lit(0))
-    return F.when(n <= 1, "atomic").when(n == 2, "pair").otherwise("multi")
+    return F.when(n == 0, "atomic").when(n == 1, "pair").otherwise("multi")
 
 
 def distribution(df: DataFrame, plan: str) -> DataFrame:

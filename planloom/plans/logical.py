@@ -197,21 +197,20 @@ def linking_family(plan: LogicalQuery) -> str:
 
 
 def signature(plan: LogicalQuery) -> str:
-    operation = "group" if plan.group_by else plan.aggregate.lower() if plan.aggregate else "distinct" if plan.distinct else "project"
-    parts = ["compose", "join" if plan.join_table else "single", operation, f"filter{len(plan.predicates)}"]
-    if len(plan.predicates) > 1:
-        parts.append(plan.connector.lower())
-    parts += ["order"] * bool(plan.order_by) + ["limit"] * (plan.limit is not None)
-    return "_".join(parts)
+    """The operations of a plan as a name.  A grouped plan is ``group_count`` whatever its aggregate."""
+    operation = "group_count" if plan.group_by else "distinct" if plan.distinct else plan.aggregate.lower() if plan.aggregate else "select"
+    filters = f"filter{len(plan.predicates)}_{plan.connector.lower()}" if plan.predicates else None
+    parts = ("compose", "join" if plan.join_table else "single", operation, filters, "order" if plan.order_by else None, "limit" if plan.limit is not None else None)
+    return "_".join(filter(None, parts))
 
 
 def capabilities(plan: LogicalQuery) -> int:
-    return sum(map(bool, (plan.join_table, plan.aggregate, plan.group_by, plan.distinct, plan.predicates, len(plan.predicates) > 1, plan.order_by or plan.limit is not None)))
+    """Operations that must be combined: reading, and each of join, filters, several filters, groups, order and limit."""
+    return 1 + sum(map(bool, (plan.join_table, plan.predicates, len(plan.predicates) > 1, plan.group_by, plan.order_by, plan.limit is not None)))
 
 
 def tier(plan: LogicalQuery) -> str:
-    n = capabilities(plan)
-    return "atomic" if n <= 1 else "pair" if n == 2 else "multi"
+    return {1: "atomic", 2: "pair"}.get(capabilities(plan), "multi")
 
 
 def difficulty(plan: LogicalQuery, terms: tuple[str, ...] = ("aggregate", "join", "multi_filter"), base: int = 1) -> int:

@@ -205,3 +205,60 @@ def test_builders(spark):
     assert all(r["count"] == 2 for r in pairs.groupBy("counterfactual_group").count().collect())
     with pytest.raises(Rejected, match="unknown_gate"):
         builders.gate(spark, "none", 1, 1, 1)
+
+
+SCRIPT = "CREATE TABLE city (name TEXT, people INTEGER); INSERT INTO city VALUES ('Ulm', 5), ('Bonn', 7), ('Status', 1);"
+
+
+def test_external_statements_are_converted_and_executed(spark):
+    from planloom.plans.sqlform import recover_literals
+
+    names = ["city", "name", "people"]
+    assert recover_literals('SELECT name FROM city WHERE name = "Ulm"', names) == ("SELECT name FROM city WHERE name = 'Ulm'", 1)
+    assert recover_literals('SELECT "Ulm" FROM city WHERE name = "people"', names)[1] == 0
+    rows = [
+        ("SELECT name FROM city WHERE name = \"Ulm\"", SCRIPT), ("SELECT name FROM city WHERE people > 9", SCRIPT), ("SELECT name FROM nowhere", SCRIPT),
+        ("SELECT name FROM city UNION SELECT 1", SCRIPT), ("SELECT name FROM city ORDER BY people DESC LIMIT 2", SCRIPT), ("SELECT name FROM city", "ATTACH 'x' AS y"), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "sql string, database_sql string").withColumn("names", F.array(*map(F.lit, names)))
+    got = evaluate.convert(df, names="names").collect()
+    assert [r["reason"] for r in got] == [None, "empty_result", "original_execution_error", "not_one_select", None, "original_execution_error", "not_one_select"]
+    assert got[0]["rewritten"] == 1 and got[0]["converted"] == "SELECT name FROM city WHERE name = 'Ulm'" and got[4]["plan"]["limit"] == 2
+    assert evaluate.validate("SELECT name FROM city WHERE people = 7", SCRIPT) == (True, [("Bonn",)])
+    assert evaluate.validate("SELECT name FROM city WHERE people = 8", SCRIPT)[0] is False and evaluate.validate("SELECT name FROM city WHERE people = 8", SCRIPT, require_rows=False)[0] is True
+    assert evaluate.validate("DROP TABLE city", SCRIPT) == (False, [])
+
+
+def test_predictions_must_stand_at_the_same_positions(spark):
+    records = spark.createDataFrame([(i, "SELECT 1") for i in range(5)], "pos long, sql string")
+
+    def told(positions):
+        return spark.createDataFrame([(i, f"p{i}") for i in positions], "pos long, prediction string")
+
+    assert sorted((r["pos"], r["prediction"]) for r in evaluate.zip_predictions(records, told(range(5))).collect()) == [(i, f"p{i}") for i in range(5)]
+    for positions, reason in ((range(1, 6), "predictions_differ_in_position"), (range(4), "predictions_differ_in_number"), ([0, 1, 2, 3, 3], "predictions_differ_in_position")):
+        with pytest.raises(Rejected) as caught:
+            evaluate.zip_predictions(records, told(positions))
+        assert caught.value.reason == reason
+
+
+def test_names_and_headers():
+    assert text.singular("status") == "status" and text.singular("cities") == "city"
+    assert {"customers id", "customers_ids", "customer/id", "customer_ids"} <= set(text.aliases("customer_id"))
+    assert text.header_identifier("Case") == "field_case" and text.header_identifier("Create") == "field_create"
+    with pytest.raises(Rejected) as caught:
+        text.required_number("none")
+    assert caught.value.reason == "numeric_conversion_error"
+
+
+def test_reserved_combinations_have_names():
+    from planloom.plans.logical import LogicalQuery, Predicate, signature, tier
+
+    two = (Predicate("a", "=", 1), Predicate("b", "=", 2))
+    joined = {"join_table": "u", "join_on": ("t.x", "u.x")}
+    assert generate.held_out(LogicalQuery(table="t", aggregate="COUNT", predicates=two, **joined)) == "join_count_multi_filter"
+    assert generate.held_out(LogicalQuery(table="t", aggregate="MAX", aggregate_column="a", predicates=two, **joined)) == "join_aggregate_multi_filter"
+    assert generate.held_out(LogicalQuery(table="t", columns=("a",), distinct=True, predicates=two[:1], limit=3)) == "distinct_filter_limit"
+    assert generate.held_out(LogicalQuery(table="t", columns=("a",), aggregate="COUNT", group_by=("a",), predicates=two[:1])) == "group_filter"
+    one = LogicalQuery(table="t", columns=("a",), predicates=two[:1])
+    assert generate.held_out(one) is None and tier(one) == "pair" and signature(one) == "compose_single_select_filter1_and"

@@ -168,6 +168,6 @@ def test_random_plans_agree_with_another_engine(spark, sf_dir):
 
 
 def test_classification():
-    assert family(FULL) == "join" and signature(FULL) == "compose_join_group_filter2_or_order_limit" and tier(FULL) == "multi" and difficulty(FULL) == 4
+    assert family(FULL) == "join" and signature(FULL) == "compose_join_group_count_filter2_or_order_limit" and tier(FULL) == "multi" and difficulty(FULL) == 4
     plain = decode("T t | S a")
-    assert family(plain) == "select" and tier(plain) == "atomic" and difficulty(plain) == 1 and signature(plain) == "compose_single_project_filter0"
+    assert family(plain) == "select" and tier(plain) == "atomic" and difficulty(plain) == 1 and signature(plain) == "compose_single_select"
