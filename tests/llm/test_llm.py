@@ -403,6 +403,37 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), F.lit(True), 10).count() == 0
 
 
+def test_top_k_few_heads(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 8), ("HEAD", 1)):
+        monkeypatch.setattr(topk_search, name, value)
+    vectors = rng.normal(0, 0.2, (200, 4))
+    df = spark.createDataFrame([(i // 2, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    got = {}
+    for r in topk_search.top_k(df, F.col("vec_id") % 10 == 0, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    for i in range(0, 100, 10):
+        pairs = [int(whole[a] @ whole[b]) for a in (2 * i, 2 * i + 1) for b in range(200) if b // 2 != i]
+        assert got[i] == sorted(pairs, reverse=True)[:7]
+
+
+def test_top_k_bars_save_postings():
+    rng = np.random.default_rng(4)
+    vectors = np.floor(128 * rng.normal(0, 1, (6000, 48))).astype(np.int64)
+    ids, asks = np.arange(6000), slice(0, 6000, 100)
+    scores = vectors[asks] @ vectors.T
+    scores[np.arange(60), ids[asks]] = topk_search.NO_BAR
+    bars = np.sort(scores[:, 3000:], axis=1)[:, -10]
+    saved = {}
+    for name, known in (("none", np.full(60, topk_search.NO_BAR)), ("bars", bars)):
+        index = topk_search.ImpactIndex(ids, vectors)
+        for j, found, _ in index.search(ids[asks], vectors[asks], known, 10):
+            assert set(found) >= set(np.flatnonzero(scores[j] > np.sort(scores[j])[-10]))
+        saved[name] = 1 - index.processed / index.offered
+    assert saved["bars"] > 0.2 and saved["bars"] > saved["none"]
+
+
 # --- 7 ---
 
 
