@@ -1,9 +1,9 @@
 """Exact top-k search over an impact-ordered, score-at-a-time index.
 
 Every component x becomes the integer floor(1024 * x).  A first
-pass scores the heads of the strongest posting segments exactly: of the rows whose
-strongest component has the same dimension and sign, the ``HEAD`` of the highest
-impact.  Each query's k-th best score there, its bar, is a lower bound of the k-th best
+pass scores the heads of the strongest posting segments exactly: the rows whose strongest
+component has the same dimension and sign are dealt into ``HEAD_PARTS`` parts, and of each
+part the ``HEAD`` rows of the highest impact are taken.  Each query's k-th best score there, its bar, is a lower bound of the k-th best
 score over all rows, and every block starts with it.  The heads decide nothing else.
 
 In the second pass all candidates are dealt into blocks of about ``BLOCK`` rows and the
@@ -47,8 +47,8 @@ LEVELS = 32
 TRY_AT = (0.06, 0.04, 0.03, 0.02, 0.012)
 #: A proof that leaves at most this share of a block possible stops a query.
 FEW = 0.05
-#: Rows of a posting segment's head in the first pass, which makes lower bounds only.
-HEAD = 64
+#: Parts of a posting segment, and rows of a part's head in the first pass, which makes lower bounds only.
+HEAD_PARTS, HEAD = 8, 8
 #: Under any score: no bar is known.
 NO_BAR = -(1 << 62)
 
@@ -187,10 +187,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "vec_id
         return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     strongest = F.array_max(F.transform("v", lambda x, i: F.struct(F.abs(x).alias("impact"), i.alias("dim"), (x < 0).alias("minus"))))
-    segment = Window.partitionBy("s.dim", "s.minus").orderBy(F.desc("s.impact"), "id")
+    segment = Window.partitionBy("s.dim", "s.minus", dealt("id", HEAD_PARTS, 3)).orderBy(F.desc("s.impact"), "id")
     heads = rows.withColumn("s", strongest).withColumn("at", F.row_number().over(segment)).where(F.col("at") <= HEAD)
     queries = rows.where("q").select("id", "v")
-    first = best(heads, min(n, 2 * (width or 0) * HEAD), queries.withColumn("bar", F.lit(NO_BAR)))
+    first = best(heads, min(n, 2 * (width or 0) * HEAD_PARTS * HEAD), queries.withColumn("bar", F.lit(NO_BAR)))
     bars = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))
     barred = queries.join(bars, "id", "left").select("id", "v", F.coalesce("known", F.lit(NO_BAR)).alias("bar"))
     return best(rows, n, barred).select("query_id", "rank", "vec_id", "score")
