@@ -23,6 +23,10 @@ from planloom.plans.sqlform import is_read_only, is_safe_context, lower, normali
 METRICS = ("syntactically_valid", "executable", "exact_match", "execution_accuracy")
 FAILURES = ("unsafe_or_incomplete_output", "execution_error", "wrong_result", "correct_execution")
 COMPONENTS = ("tables", "projection", "aggregate", "distinct", "join", "filters", "group_by", "order_limit")
+OPERATIONS = (
+    "selection_arity", "aggregate_function", "aggregate_position", "distinct", "filter_count", "filter_operators_and_values", "filter_values", "filter_connector", "group_arity", "order_presence",
+    "sort_direction", "limit",
+)
 ROW_LIMIT, STEPS = 1000, 5_000_000
 
 
@@ -96,6 +100,19 @@ def component_match(predicted: LogicalQuery | None, gold: LogicalQuery) -> dict[
     return found | {"plan_match": int(all(found.values()))}
 
 
+def operations_of(predicted: LogicalQuery, gold: LogicalQuery) -> dict[str, int]:
+    """1 for every operation that agrees, whatever the names; values keep their type, text its letters only."""
+    def shape(plan: LogicalQuery) -> tuple:
+        values = [(type(p.value).__name__, p.value.lower() if isinstance(p.value, str) else p.value) for p in plan.predicates]
+        return (
+            len(plan.columns), plan.aggregate, plan.aggregate_position, plan.distinct, len(values), Counter(zip([p.operator for p in plan.predicates], values, strict=True)), Counter(values), plan.connector,
+            len(plan.group_by), plan.order_by is None, plan.descending, plan.limit,
+        )
+
+    found = {c: int(a == b) for c, a, b in zip(OPERATIONS, shape(predicted), shape(gold), strict=True)}
+    return found | {"all_operations": int(all(found.values()))}
+
+
 def score_one(gold_sql: str, predicted_sql: str, script: str | None, path: str | None = None, plan: dict | None = None) -> dict:
     valid = is_read_only(predicted_sql)
     predicted = execute(script, predicted_sql, path)
@@ -346,18 +363,59 @@ def with_literals(plan: LogicalQuery, gold: LogicalQuery) -> LogicalQuery:
     return plan.replace(predicates=tuple(type(p)(p.column, p.operator, values[i] if i < len(values) else p.value) for i, p in enumerate(plan.predicates)))
 
 
-def oracle_predictions(df: DataFrame, *, predicted: str = "predicted_plan", gold: str = "query_plan") -> DataFrame:
-    """Every row once per variant (and for ``operations`` and ``literals``): (variant, prediction) as SQL."""
-    names = [*VARIANTS, "operations", "literals"]
-    spread = df.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+def operation_match(predicted: str, gold: str) -> Column:
+    """The parts of ``operations_of`` as a struct of integers, from two plan columns; null if either plan is."""
+    a, b = F.col(predicted), F.col(gold)
+
+    def value(f: Column) -> list[Column]:
+        return [f["value_kind"].alias("kind"), F.coalesce(F.lower(f["value_str"]), F.lit("")).alias("str"), F.coalesce(f["value_int"], F.lit(0)).alias("int"), F.coalesce(f["value_num"], F.lit(0.0)).alias("num")]
+
+    def sizes(part: str) -> Column:
+        return F.size(F.coalesce(a[part], F.array())) == F.size(F.coalesce(b[part], F.array()))
+
+    def bags(of) -> Column:
+        return F.array_sort(F.transform(a["filters"], of)) == F.array_sort(F.transform(b["filters"], of))
+
+    same = [
+        sizes("columns"), a["aggregate"].eqNullSafe(b["aggregate"]), a["aggregate_position"].eqNullSafe(b["aggregate_position"]), a["distinct"].eqNullSafe(b["distinct"]), F.size(a["filters"]) == F.size(b["filters"]),
+        bags(lambda f: F.struct(f["operator"].alias("operator"), *value(f))), bags(lambda f: F.struct(*value(f))), a["filter_connector"].eqNullSafe(b["filter_connector"]), sizes("group_by"),
+        a["order_by"].isNull() == b["order_by"].isNull(), a["descending"].eqNullSafe(b["descending"]), a["limit"].eqNullSafe(b["limit"]),
+    ]
+    ones = [F.coalesce(x, F.lit(False)).cast("int").alias(c) for c, x in zip(OPERATIONS, same, strict=True)]
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(*ones, F.least(*ones).alias("all_operations")))
+
+
+#: Oracles of one row each, and those that a report adds.
+ORACLES = (*VARIANTS, "operations", "literals")
+COMBINED = ("schema_and_operations", "schema_and_literals", "gold_plan")
+#: Corrections whose ceiling a report gives: kept only where they make a result right.
+RESCUES = ("all", "operations", "literals")
+
+
+def patched_plan(variant: str, plan: LogicalQuery, gold: LogicalQuery) -> LogicalQuery:
+    if variant == "operations":
+        return with_operations(plan, gold)
+    if variant == "literals":
+        return with_literals(plan, gold)
+    if variant == "schema_and_operations":
+        return with_schema_links(with_operations(plan, gold), gold, "all")
+    if variant == "schema_and_literals":
+        return with_schema_links(with_literals(plan, gold), gold, "all")
+    return with_schema_links(plan, gold, variant)
+
+
+def oracle_predictions(df: DataFrame, *, predicted: str = "predicted_plan", gold: str = "query_plan", variants: tuple[str, ...] = ORACLES) -> DataFrame:
+    """Every row once per variant: (variant, prediction) as SQL; null where there is no sound plan."""
+    spread = df.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
 
     at = [spread.columns.index(c) for c in ("variant", predicted, gold)]
 
     def patched(variant: str, own: dict | None, right: dict | None) -> str | None:
+        if right is None or (own is None and variant != "gold_plan"):
+            return None
         try:
-            plan, want = from_struct(own), from_struct(right)
-            new = with_operations(plan, want) if variant == "operations" else with_literals(plan, want) if variant == "literals" else with_schema_links(plan, want, variant)
-            return render(new.checked())
+            want = from_struct(right)
+            return render((want if variant == "gold_plan" else patched_plan(variant, from_struct(own), want)).checked())
         except (Rejected, TypeError, KeyError):
             return None
 
@@ -369,6 +427,37 @@ def oracle_predictions(df: DataFrame, *, predicted: str = "predicted_plan", gold
     return spread.mapInArrow(run, T.StructType([*spread.schema.fields, T.StructField("prediction", T.StringType())]))
 
 
+def oracle_report(df: DataFrame, record: str, *, sql: str = "sql", production: str = "production", predicted: str = "predicted_plan", gold: str = "query_plan") -> DataFrame:
+    """Metrics per variant: (variant, records, the four means, accuracy given a valid prediction).
+
+    Baselines are ``production`` (the statement as it was made) and ``none`` (the predicted
+    plan as it is); ``gold_plan`` is the upper end.  ``rescue_x`` takes variant x where it
+    returns the right rows, else the plan as it is.  ``record`` tells rows apart; a null
+    plan or statement counts as a wrong prediction.  Every statement is executed once.
+    """
+    kept = [c for c in (record, sql, "database_sql", "schema_sql", "database_path", predicted, gold) if c in df.columns]
+    made = oracle_predictions(df.select(*kept), predicted=predicted, gold=gold, variants=(*ORACLES, *COMBINED)).drop(predicted, gold)
+    own = df.select(*[c for c in kept if c not in (predicted, gold)], F.lit("production").alias("variant"), F.col(production).alias("prediction"))
+    scored = score(made.unionByName(own), gold=sql)
+    names = ("production", *ORACLES, *COMBINED)
+    wide = scored.groupBy(record).agg(*[F.max(F.when(F.col("variant") == v, F.struct(*METRICS))).alias(f"of_{v}") for v in names])
+    rescued = [(f"rescue_{v}", F.when(F.col(f"of_{v}")["execution_accuracy"] == 1, F.col(f"of_{v}")).otherwise(F.col("of_none"))) for v in RESCUES]
+    rows = F.array(*[F.struct(F.lit(v).alias("variant"), m.alias("m")) for v, m in [*((v, F.col(f"of_{v}")) for v in names), *rescued]])
+    long = wide.select(F.explode(rows).alias("x")).select("x.variant", *[F.col(f"x.m.{m}").alias(m) for m in METRICS])
+    given = (F.sum("execution_accuracy") / F.greatest(F.sum("syntactically_valid"), F.lit(1))).alias("execution_accuracy_given_valid")
+    return long.groupBy("variant").agg(F.count(F.lit(1)).alias("records"), *_means(), given)
+
+
+def oracle_availability(df: DataFrame, *, predicted: str = "predicted_plan", gold: str = "query_plan") -> DataFrame:
+    """One row: records, plans there are, their share, means of the operations over them, and the share
+    of records whose predicted plan has a value for every filter of the gold plan."""
+    o = df.select(operation_match(predicted, gold).alias("o"), (F.size(F.col(predicted)["filters"]) >= F.size(F.col(gold)["filters"])).alias("fits"))
+    n, parsed = F.count(F.lit(1)), F.count("o")
+    means = [F.coalesce(F.avg(F.col("o")[c]), F.lit(0.0)).alias(c) for c in (*OPERATIONS, "all_operations")]
+    eligible = F.count_if(F.col("o").isNotNull() & F.col("fits"))
+    return o.agg(n.alias("records"), parsed.alias("parsed"), (parsed / F.greatest(n, F.lit(1))).alias("parse_rate"), *means, (eligible / F.greatest(n, F.lit(1))).alias("operations_eligible"))
+
+
 def rescue_ceiling(df: DataFrame, own: str, corrected: str) -> DataFrame:
     """Accuracy if a correction is kept only where it makes a wrong result right."""
     best = F.greatest(own, corrected)

@@ -181,6 +181,14 @@ def plan_classify(spark, sf):
     return df.select("key", report.family_of("plan").alias("family"), report.linking_family_of("plan").alias("linking_family"), report.signature_of("plan").alias("signature"), report.tier_of("plan").alias("tier"))
 
 
+def operation_match(spark, sf):
+    """Every plan of the library against every other one, by columns."""
+    rows = [(key, to_struct(plans.plan(key))) for key in plans.PLANS]
+    own = spark.createDataFrame(rows, f"key string, plan {PLAN_STRUCT}")
+    pairs = own.join(own.toDF("gold_key", "gold"), F.col("key") != F.col("gold_key"))
+    return pairs.select("key", "gold_key", evaluate.operation_match("plan", "gold").alias("o")).select("key", "gold_key", "o.*")
+
+
 def eval_overall(spark, sf):
     return evaluate.overall(_scored(spark, sf))
 
@@ -296,9 +304,17 @@ def _plan_rows() -> str:
     return f"SELECT * FROM (VALUES {rows}) t(key, family, linking_family, signature, tier)"
 
 
+def _operation_rows() -> str:
+    """The operations by the function on two plans, against those on columns."""
+    pairs = [(a, b, evaluate.operations_of(plans.plan(a), plans.plan(b))) for a in plans.PLANS for b in plans.PLANS if a != b]
+    names = (*evaluate.OPERATIONS, "all_operations")
+    rows = ", ".join(f"('{a}', '{b}', " + ", ".join(str(o[c]) for c in names) + ")" for a, b, o in pairs)
+    return f"SELECT * FROM (VALUES {rows}) t(key, gold_key, " + ", ".join(f'"{c}"' for c in names) + ")"
+
+
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in [*ORACLES, "plan_classify"]}
+    return {name: globals()[name] for name in [*ORACLES, "plan_classify", "operation_match"]}
 
 
 def oracles() -> dict[str, str]:
-    return ORACLES | {"plan_classify": _plan_rows()}
+    return ORACLES | {"plan_classify": _plan_rows(), "operation_match": _operation_rows()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.operators.ranking import largest_remainder, shuffle_key, shuffled_rank, totals
@@ -78,13 +78,25 @@ def round_robin(df: DataFrame, outer: str, inner: str, ids: list[str], total: in
     """``total`` rows that take turns: every outer value once per round, its inner values in turn.
 
     Rows are ranked within (outer, inner); a row's turn is its rank, shifted by the place
-    of its inner value so that outer values start with different ones.
+    of its inner value so that outer values start with different ones.  The last turn
+    follows from the strata's sizes, so only that turn's rows (one per stratum) are cut by a limit.
     """
     ranked = shuffled_rank(df, [outer, inner], ids, seed, "_nth")
     places = shuffled_rank(df.select(outer, inner).distinct(), [outer], [inner], seed, "_place").select(F.col(outer).alias("_o"), F.col(inner).alias("_i"), "_place")
     placed = ranked.join(places, F.col(outer).eqNullSafe(F.col("_o")) & F.col(inner).eqNullSafe(F.col("_i")))
     order = [F.asc("_nth"), F.asc("_place"), F.asc_nulls_first(outer), *[F.asc(i) for i in ids]]
-    return placed.orderBy(*order).limit(total).drop("_nth", "_place", "_o", "_i")
+    # strata by size: how many rows there are up to the turn that empties each
+    upward = Window.orderBy("n", "_o", "_i")
+    sizes = totals(df, [outer, inner]).select("n", F.col(outer).alias("_o"), F.col(inner).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
+    sizes = sizes.select("n", "m", F.row_number().over(upward).alias("at"), F.sum("n").over(upward.rowsBetween(Window.unboundedPreceding, -1)).alias("under"))
+    sizes = sizes.select("n", F.coalesce("under", F.lit(0)).alias("under"), (F.col("m") - F.col("at") + 1).alias("open"))
+    cut = sizes.where(F.col("under") + F.col("n") * F.col("open") >= total).agg(F.max_by(F.struct("under", "open"), "open").alias("x")).select("x.*").first()
+    if cut["open"] is None:
+        return placed.orderBy(*order).drop("_nth", "_place", "_o", "_i")
+    turn = -(-(total - cut["under"]) // cut["open"])
+    rest = total - cut["under"] - (turn - 1) * cut["open"]
+    last = placed.where(F.col("_nth") == turn).orderBy(*order).limit(rest)
+    return placed.where(F.col("_nth") < turn).unionByName(last).orderBy(*order).drop("_nth", "_place", "_o", "_i")
 
 
 def weighted_resample(df: DataFrame, family: str, weights: dict[str, float], ids: list[str], total: int, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ import tarfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,13 +57,15 @@ def discover_training(spark: SparkSession, root: str, schema: str = RECORD_SCHEM
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(pos, prediction): each line is SQL or an object with ``sql``; order is the line number.
 
-    A file is read whole by one task per file so that line numbers are exact.
+    Files may be split: lines are ranked within a split and shifted by the counts of the
+    splits before; several files follow each other by path.  Blank lines have no position.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
-    sql = F.when(F.ltrim("line").startswith("{"), F.get_json_object("line", "$.sql")).otherwise(F.trim("line"))
-    from pyspark.sql import Window
-
-    return lines.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1).cast("long").alias("pos"), sql.alias("prediction"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sql = F.when(F.ltrim("value").startswith("{"), F.get_json_object("value", "$.sql")).otherwise(F.trim("value"))
+    ranked = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))).join(bases, ["file", "start"])
+    return ranked.select((F.col("base") + F.col("nth") - 1).cast("long").alias("pos"), sql.alias("prediction"))
 
 
 def file_hash(path: str) -> str:

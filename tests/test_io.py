@@ -24,6 +24,14 @@ def test_jsonl_and_predictions(spark, tmp_path):
     assert files.discover_training(spark, str(tmp_path)).count() == 2 and files.discover_training(spark, str(tmp_path), excluding="/x/").count() == 0
     (tmp_path / "p.txt").write_text('SELECT 1\n\n{"sql": "SELECT 2"}\n')
     assert [tuple(r) for r in files.read_predictions(spark, str(tmp_path / "p.txt")).orderBy("pos").collect()] == [(0, "SELECT 1"), (1, "SELECT 2")]
+    (tmp_path / "many.txt").write_text("\n".join(f"SELECT {i}" + "\n" * (i % 3) for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        many = files.read_predictions(spark, str(tmp_path / "many.txt"))
+        assert [tuple(r) for r in many.orderBy("pos").collect()] == [(i, f"SELECT {i}") for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     sinks.write_jsonl(df.select("question", "id"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "_SUCCESS").exists()
     with pytest.raises(Rejected, match="output_exists"):

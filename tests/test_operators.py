@@ -130,6 +130,43 @@ def test_oracles(spark):
     assert out["all"] == "SELECT id FROM orders WHERE status > 'x'" and len(out) == 12
 
 
+def test_operation_match(spark):
+    plans = [decode(x) for x in ("T a | S x | F AND y = 'Paid' & z > 3", "T b | S q | F AND r > 3 & s = 'pAID'", "T b | S q | F AND r = 3 & s > 'paid'", "T a | S x,y | F OR y = '3' | O x DESC | L 2", "T a | A SUM x 0", "T a | S y | A COUNT * 1 | G y")]
+    rows = [(i, j, to_struct(a), to_struct(b)) for i, a in enumerate(plans) for j, b in enumerate(plans)] + [(-1, 0, None, to_struct(plans[0]))]
+    df = spark.createDataFrame(rows, f"i int, j int, a {PLAN_STRUCT}, b {PLAN_STRUCT}")
+    for r in df.select("i", "j", evaluate.operation_match("a", "b").alias("o")).collect():
+        assert (r["o"] and r["o"].asDict()) == (evaluate.operations_of(plans[r["i"]], plans[r["j"]]) if r["i"] >= 0 else None)
+    assert evaluate.operations_of(plans[0], plans[1])["all_operations"] == 1
+    swapped = evaluate.operations_of(plans[1], plans[2])
+    assert swapped["filter_values"] == 1 and swapped["filter_operators_and_values"] == 0
+    told = evaluate.oracle_availability(df, predicted="a", gold="b").first()
+    assert (told["records"], told["parsed"]) == (37, 36) and 0 < told["limit"] < 1
+
+
+def test_oracle_report(spark):
+    script = "CREATE TABLE t (id INTEGER, v INTEGER, s TEXT); INSERT INTO t VALUES (1, 5, 'a'), (2, 7, 'b')"
+    gold = to_struct(decode("T t | S id | F AND s = 'b'"))
+    cases = [(0, to_struct(decode("T t | S v | F AND s = 'b'")), "SELECT id FROM t WHERE s = 'b'"), (1, to_struct(decode("T t | S id | F AND s = 'a'")), "SELECT v FROM t"), (2, None, None), (3, gold, "DROP TABLE t")]
+    df = spark.createDataFrame([(i, "SELECT id FROM t WHERE s = 'b'", script, p, own, gold) for i, own, p in cases], f"id int, sql string, database_sql string, production string, predicted_plan {PLAN_STRUCT}, query_plan {PLAN_STRUCT}")
+    got = {r["variant"]: r for r in evaluate.oracle_report(df, "id").collect()}
+    right = {v: r["execution_accuracy"] for v, r in got.items()}
+    assert all(r["records"] == 4 for r in got.values()) and len(got) == 19
+    assert (right["production"], right["none"], right["projection"], right["literals"], right["schema_and_literals"], right["gold_plan"]) == (0.25, 0.25, 0.5, 0.5, 0.75, 1.0)
+    assert (right["rescue_all"], right["rescue_literals"]) == (0.5, 0.5) and got["production"]["execution_accuracy_given_valid"] == 0.5
+    assert evaluate.oracle_report(df.limit(0), "id").count() == 0
+
+
+def test_round_robin_by_turns(spark):
+    sizes = {("s0", "a"): 1, ("s0", "b"): 4, ("s1", "a"): 4, (None, "a"): 7}
+    rows = [(s, f, 100 * k + i) for k, ((s, f), n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "schema string, family string, pos int")
+    whole = [r["pos"] for r in sample.round_robin(df, "schema", "family", ["pos"], 99, 1).collect()]
+    assert sorted(whole) == sorted(r[2] for r in rows)
+    for total in (0, 1, 3, 4, 5, 10, 13, 15, 16):
+        assert [r["pos"] for r in sample.round_robin(df, "schema", "family", ["pos"], total, 1).collect()] == whole[:total]
+    assert sample.round_robin(df.limit(0), "schema", "family", ["pos"], 3, 1).count() == 0
+
+
 DDL = "CREATE TABLE customers (customer_id INTEGER PRIMARY KEY, name TEXT, city TEXT); CREATE TABLE orders (order_id INTEGER PRIMARY KEY, customer_id INTEGER REFERENCES customers(customer_id), total REAL, status TEXT);"
 
 
