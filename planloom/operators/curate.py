@@ -27,14 +27,14 @@ def key_of(*columns: str | Column) -> Column:
 
 def keep_first(df: DataFrame, keys: list[str | Column], pos: str) -> DataFrame:
     """The row with the least ``pos`` of every key.  ``pos`` must tell rows apart."""
-    first = df.groupBy(key_of(*keys).alias("_k")).agg(F.min(pos).alias("_first")).select("_first")
-    return df.join(first, F.col(pos) == F.col("_first"), "left_semi")
+    first = df.groupBy(key_of(*keys).alias("__own_k")).agg(F.min(pos).alias("__own_first")).select("__own_first")
+    return df.join(first, F.col(pos) == F.col("__own_first"), "left_semi")
 
 
 def duplicate_count(df: DataFrame, keys: list[str | Column]) -> DataFrame:
     """One row: rows, distinct_keys, duplicates."""
-    per_key = df.groupBy(key_of(*keys).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_keys")).withColumn("duplicates", F.col("rows") - F.col("distinct_keys"))
+    per_key = df.groupBy(key_of(*keys).alias("__own_k")).agg(F.count(F.lit(1)).alias("__own_n"))
+    return per_key.agg(F.coalesce(F.sum("__own_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_keys")).withColumn("duplicates", F.col("rows") - F.col("distinct_keys"))
 
 
 def conflict_audit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -44,10 +44,10 @@ def conflict_audit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def exclude_conflicts(df: DataFrame, keys: list[str | Column], value: str, pos: str) -> DataFrame:
     """Drop rows whose value differs from the first of their key; equal repeats stay."""
-    narrow = df.select(key_of(*keys).alias("k"), F.col(pos).alias("at"), F.col(value).alias("own"))
-    first = narrow.groupBy("k").agg(F.min(F.struct("at", "own")).alias("m")).select("k", F.col("m.own").alias("value"))
-    agreed = narrow.join(first, "k").where(F.col("own").eqNullSafe(F.col("value"))).select("at")
-    return df.join(agreed, F.col(pos) == F.col("at"), "left_semi")
+    narrow = df.select(key_of(*keys).alias("k"), F.col(pos).alias("__own_at"), F.col(value).alias("own"))
+    first = narrow.groupBy("k").agg(F.min(F.struct("__own_at", "own")).alias("m")).select("k", F.col("m.own").alias("value"))
+    agreed = narrow.join(first, "k").where(F.col("own").eqNullSafe(F.col("value"))).select("__own_at")
+    return df.join(agreed, F.col(pos) == F.col("__own_at"), "left_semi")
 
 
 def pair_keys(columns: dict[str, Column]) -> list[tuple[str, Column]]:
@@ -79,16 +79,16 @@ def decontaminate(df: DataFrame, frozen: DataFrame, columns: dict[str, Column])
 
 def remove_matching(df: DataFrame, frozen: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows whose key is not in the frozen set."""
-    seen = frozen.select(key_of(*keys).alias("_seen")).distinct()
-    return df.join(seen, key_of(*keys) == F.col("_seen"), "left_anti")
+    seen = frozen.select(key_of(*keys).alias("__own_seen")).distinct()
+    return df.join(seen, key_of(*keys) == F.col("__own_seen"), "left_anti")
 
 
 def overlap_counts(df: DataFrame, frozen: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Per key: how many rows the frozen set matches."""
     parts = []
     for name, key in [*((n, key_of(c)) for n, c in columns.items()), *pair_keys(columns)]:
-        seen = frozen.select(key.alias("_seen")).distinct()
-        parts.append(df.join(seen, key == F.col("_seen"), "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("key"), "n"))
+        seen = frozen.select(key.alias("__own_seen")).distinct()
+        parts.append(df.join(seen, key == F.col("__own_seen"), "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("key"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -112,10 +112,10 @@ def assert_permitted(df: DataFrame, allowed: Column) -> DataFrame:
 
 def curate(df: DataFrame, reason: Column, keys: list[str | Column], pos: str, duplicate: str = "duplicate_schema_question") -> tuple[DataFrame, DataFrame]:
     """(accepted rows, reasons with counts): rejects by ``reason``, then all but the first of a key."""
-    judged = df.withColumn("_reason", reason)
-    sound = judged.where(F.col("_reason").isNull()).drop("_reason")
+    judged = df.withColumn("__own_reason", reason)
+    sound = judged.where(F.col("__own_reason").isNull()).drop("__own_reason")
     kept = keep_first(sound, keys, pos)
-    log = judged.where(F.col("_reason").isNotNull()).groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    log = judged.where(F.col("__own_reason").isNotNull()).groupBy(F.col("__own_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     repeats = sound.agg(F.count(F.lit(1)).alias("n")).crossJoin(kept.agg(F.count(F.lit(1)).alias("k"))).select(F.lit(duplicate).alias("reason"), (F.col("n") - F.col("k")).alias("n")).where("n > 0")
     return kept, log.unionByName(repeats)
 

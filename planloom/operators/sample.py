@@ -16,20 +16,20 @@ def split_groups(df: DataFrame, group: str, seed: int, shares: tuple[float, floa
 
     Three or more groups leave at least one for each later split.
     """
-    groups = df.select(F.col(group).alias("_g")).distinct()
+    groups = df.select(F.col(group).alias("__own_g")).distinct()
     n = groups.count()
     floor = 1 if n >= 3 else 0
     late = max(floor, int(n * shares[2]))
     middle = max(floor, int(n * shares[1]))
-    ranked = shuffled_rank(groups, [], ["_g"], seed, "_r") if n else groups.withColumn("_r", F.lit(0))
-    split = F.when(F.col("_r") <= n - middle - late, names[0]).when(F.col("_r") <= n - late, names[1]).otherwise(names[2])
-    return df.join(ranked.select("_g", split.alias("split")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    ranked = shuffled_rank(groups, [], ["__own_g"], seed, "__own_r") if n else groups.withColumn("__own_r", F.lit(0))
+    split = F.when(F.col("__own_r") <= n - middle - late, names[0]).when(F.col("__own_r") <= n - late, names[1]).otherwise(names[2])
+    return df.join(ranked.select("__own_g", split.alias("split")), F.col(group).eqNullSafe(F.col("__own_g"))).drop("__own_g")
 
 
 def quotas(df: DataFrame, family: str, total: int) -> DataFrame:
     """Families with their counts and largest-remainder quotas of an equal split."""
-    counts = totals(df, [family]).withColumn("_one", F.lit(1))
-    return largest_remainder(counts, "_one", total, [family]).drop("_one")
+    counts = totals(df, [family]).withColumn("__own_one", F.lit(1))
+    return largest_remainder(counts, "__own_one", total, [family]).drop("__own_one")
 
 
 def exact_sample(df: DataFrame, n: int, ids: list[str], seed: int, tolerant: bool = False) -> DataFrame:
@@ -37,7 +37,7 @@ def exact_sample(df: DataFrame, n: int, ids: list[str], seed: int, tolerant: boo
     available = df.count()
     if available < n and not tolerant:
         raise Rejected("sample_larger_than_source", f"{n} of {available}")
-    return shuffled_rank(df, [], ids, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return shuffled_rank(df, [], ids, seed, "__own_rank").where(F.col("__own_rank") <= n).drop("__own_rank")
 
 
 def cycle_sample(df: DataFrame, n: int, ids: list[str], seed: int) -> DataFrame:
@@ -60,12 +60,12 @@ def balanced_take(df: DataFrame, family: str, group: str, ids: list[str], total:
     for another.  Missing rows are filled from groups that are left over; the strict
     form raises instead.
     """
-    single = shuffled_rank(df, [group], ids, seed, "_one").where(F.col("_one") == 1).drop("_one")
-    ranked = shuffled_rank(single, [family], ids, seed, "_nth")
-    wanted = quotas(single, family, total).select(F.col(family).alias("_f"), "quota")
-    ranked = ranked.join(wanted, F.col(family).eqNullSafe(F.col("_f"))).drop("_f")
-    chosen = ranked.where(F.col("_nth") <= F.col("quota")).drop("quota", "_nth")
-    left = ranked.where(F.col("_nth") > F.col("quota")).drop("quota", "_nth")
+    single = shuffled_rank(df, [group], ids, seed, "__own_one").where(F.col("__own_one") == 1).drop("__own_one")
+    ranked = shuffled_rank(single, [family], ids, seed, "__own_nth")
+    wanted = quotas(single, family, total).select(F.col(family).alias("__own_f"), "quota")
+    ranked = ranked.join(wanted, F.col(family).eqNullSafe(F.col("__own_f"))).drop("__own_f")
+    chosen = ranked.where(F.col("__own_nth") <= F.col("quota")).drop("quota", "__own_nth")
+    left = ranked.where(F.col("__own_nth") > F.col("quota")).drop("quota", "__own_nth")
     short = total - chosen.count()
     if short and strict:
         raise Rejected("quota_not_reached", str(short))
@@ -81,22 +81,22 @@ def round_robin(df: DataFrame, outer: str, inner: str, ids: list[str], total: in
     of its inner value so that outer values start with different ones.  The last turn
     follows from the strata's sizes, so only that turn's rows (one per stratum) are cut by a limit.
     """
-    ranked = shuffled_rank(df, [outer, inner], ids, seed, "_nth")
-    places = shuffled_rank(df.select(outer, inner).distinct(), [outer], [inner], seed, "_place").select(F.col(outer).alias("_o"), F.col(inner).alias("_i"), "_place")
-    placed = ranked.join(places, F.col(outer).eqNullSafe(F.col("_o")) & F.col(inner).eqNullSafe(F.col("_i")))
-    order = [F.asc("_nth"), F.asc("_place"), F.asc_nulls_first(outer), *[F.asc(i) for i in ids]]
+    ranked = shuffled_rank(df, [outer, inner], ids, seed, "__own_nth")
+    places = shuffled_rank(df.select(outer, inner).distinct(), [outer], [inner], seed, "__own_place").select(F.col(outer).alias("__own_o"), F.col(inner).alias("__own_i"), "__own_place")
+    placed = ranked.join(places, F.col(outer).eqNullSafe(F.col("__own_o")) & F.col(inner).eqNullSafe(F.col("__own_i")))
+    order = [F.asc("__own_nth"), F.asc("__own_place"), F.asc_nulls_first(outer), *[F.asc(i) for i in ids]]
     # strata by size: how many rows there are up to the turn that empties each
-    upward = Window.orderBy("n", "_o", "_i")
-    sizes = totals(df, [outer, inner]).select("n", F.col(outer).alias("_o"), F.col(inner).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
+    upward = Window.orderBy("n", "__own_o", "__own_i")
+    sizes = totals(df, [outer, inner]).select("n", F.col(outer).alias("__own_o"), F.col(inner).alias("__own_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
     sizes = sizes.select("n", "m", F.row_number().over(upward).alias("at"), F.sum("n").over(upward.rowsBetween(Window.unboundedPreceding, -1)).alias("under"))
     sizes = sizes.select("n", F.coalesce("under", F.lit(0)).alias("under"), (F.col("m") - F.col("at") + 1).alias("open"))
     cut = sizes.where(F.col("under") + F.col("n") * F.col("open") >= total).agg(F.max_by(F.struct("under", "open"), "open").alias("x")).select("x.*").first()
     if cut["open"] is None:
-        return placed.orderBy(*order).drop("_nth", "_place", "_o", "_i")
+        return placed.orderBy(*order).drop("__own_nth", "__own_place", "__own_o", "__own_i")
     turn = -(-(total - cut["under"]) // cut["open"])
     rest = total - cut["under"] - (turn - 1) * cut["open"]
-    last = placed.where(F.col("_nth") == turn).orderBy(*order).limit(rest)
-    return placed.where(F.col("_nth") < turn).unionByName(last).orderBy(*order).drop("_nth", "_place", "_o", "_i")
+    last = placed.where(F.col("__own_nth") == turn).orderBy(*order).limit(rest)
+    return placed.where(F.col("__own_nth") < turn).unionByName(last).orderBy(*order).drop("__own_nth", "__own_place", "__own_o", "__own_i")
 
 
 def weighted_resample(df: DataFrame, family: str, weights: dict[str, float], ids: list[str], total: int, seed: int) -> DataFrame:
@@ -104,11 +104,11 @@ def weighted_resample(df: DataFrame, family: str, weights: dict[str, float], ids
     family's size goes round again.  Adds ``cycle``."""
     counts = totals(df, [family])
     weight = F.coalesce(*[F.when(F.col(family) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(1.0)) if weights else F.lit(1.0)
-    wanted = largest_remainder(counts.withColumn("_w", F.col("n") * weight), "_w", total, [family]).select(F.col(family).alias("_f"), F.col("n").alias("_n"), "quota")
-    ranked = shuffled_rank(df, [family], ids, seed, "_nth").join(wanted, F.col(family).eqNullSafe(F.col("_f")))
-    times = F.floor((F.col("quota") - F.col("_nth")) / F.col("_n"))
-    again = ranked.where(F.col("_nth") <= F.col("quota")).withColumn("cycle", F.explode(F.sequence(F.lit(0), times.cast("int"))))
-    return again.drop("_f", "_n", "quota", "_nth")
+    wanted = largest_remainder(counts.withColumn("__own_w", F.col("n") * weight), "__own_w", total, [family]).select(F.col(family).alias("__own_f"), F.col("n").alias("__own_n"), "quota")
+    ranked = shuffled_rank(df, [family], ids, seed, "__own_nth").join(wanted, F.col(family).eqNullSafe(F.col("__own_f")))
+    times = F.floor((F.col("quota") - F.col("__own_nth")) / F.col("__own_n"))
+    again = ranked.where(F.col("__own_nth") <= F.col("quota")).withColumn("cycle", F.explode(F.sequence(F.lit(0), times.cast("int"))))
+    return again.drop("__own_f", "__own_n", "quota", "__own_nth")
 
 
 def mix_fraction(own: DataFrame, external: DataFrame, fraction: float, ids: list[str], seed: int, total: int | None = None) -> DataFrame:
@@ -150,5 +150,5 @@ def shuffled(df: DataFrame, ids: list[str], seed: int) -> DataFrame:
 def interleaved(df: DataFrame, family: str, weights: dict[str, float], ids: list[str], seed: int) -> DataFrame:
     """All rows ordered so that every start has the families in about their weights."""
     weight = F.coalesce(*[F.when(F.col(family) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(1.0)) if weights else F.lit(1.0)
-    ranked = shuffled_rank(df, [family], ids, seed, "_nth")
-    return ranked.orderBy((F.col("_nth") - 0.5) / weight, F.asc_nulls_first(family), *ids).drop("_nth")
+    ranked = shuffled_rank(df, [family], ids, seed, "__own_nth")
+    return ranked.orderBy((F.col("__own_nth") - 0.5) / weight, F.asc_nulls_first(family), *ids).drop("__own_nth")

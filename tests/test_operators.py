@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from planloom.functions import text
-from planloom.operators import curate, evaluate, generate, report, sample
+from planloom.operators import curate, evaluate, generate, links, report, sample
 from planloom.operators.ranking import largest_remainder, shuffled_rank
 from planloom.plans.catalog import parse_ddl
 from planloom.plans.english import assemble, combine, drop_unmentioned, ground, legend, only_known_names, plan_from_slots, plan_to_slots, question_plan, repair_location, schema_of_slots, substitute_roles
@@ -299,3 +300,28 @@ def test_reserved_combinations_have_names():
     assert generate.held_out(LogicalQuery(table="t", columns=("a",), aggregate="COUNT", group_by=("a",), predicates=two[:1])) == "group_filter"
     one = LogicalQuery(table="t", columns=("a",), predicates=two[:1])
     assert generate.held_out(one) is None and tier(one) == "pair" and signature(one) == "compose_single_select_filter1_and"
+
+
+def test_schema_links(spark):
+    tables = spark.createDataFrame([(1, None, None, 0.0), (1, "a", 1.0, 5.0), (1, "b", 2.0, 1.0), (1, "c", 0.0, 9.0), (2, None, None, 3.0), (2, "a", 0.5, 0.0), (2, "b", 0.5, 2.0)], "record int, table string, base_score double, join_score double")
+    joins = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (2, "a", "b")], "record int, base string, joined string")
+    chosen = links.best_tables(tables, joins)
+    got = {r["record"]: r for r in chosen.collect()}
+    assert [tuple(got[i][c] for c in ("base", "joined", "score")) for i in (1, 2)] == [("b", "a", 7.0), ("a", None, 3.5)]
+    valid = [1.0, 2.0, 0.0, 1.0 + 1.0, 2.0 + 5.0]
+    assert got[1]["confidence"] == pytest.approx(1 / sum(np.exp(v - 7.0) for v in valid))
+    owners = spark.createDataFrame([(i, role, t, s) for i in (1, 2) for role in ("order", "projection") for t, s in (("a", 0.0), ("b", 1.0), ("c", 50.0))], "record int, role string, owner string, score double")
+    columns = spark.createDataFrame([(i, role, c, s) for i in (1, 2) for role, c, s in (("order", "x", 1.0), ("order", "y", 9.0), ("order", "z", 90.0), ("projection", "x", 1.0), ("projection", "*", 3.0))], "record int, role string, column string, score double")
+    pairs = spark.createDataFrame([(i, t, c) for i in (1, 2) for t, c in (("a", "x"), ("a", "y"), ("b", "x"), ("c", "z"))], "record int, owner string, column string")
+    best = {(r["record"], r["role"]): (r["owner"], r["column"], r["score"]) for r in links.best_columns(chosen, owners, columns, pairs).collect()}
+    assert best == {(1, "order"): ("a", "y", 9.0), (1, "projection"): ("b", "*", 4.0), (2, "order"): ("a", "y", 9.0), (2, "projection"): ("a", "*", 3.0)}
+    assert links.best_tables(tables.limit(0), joins).count() == 0
+
+
+def test_columns_named_like_inner_ones(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], str(i % 3), 7, 7, 7, 7, 7) for i in range(12)], "pos int, family string, sql string, at int, k int, own int, _k int, _nth int")
+    assert curate.keep_first(df, ["family"], "pos").columns == df.columns and curate.exclude_conflicts(df, ["family"], "sql", "pos").count() == 4
+    assert sample.weighted_resample(df, "family", {}, ["pos"], 12, 1).select("_nth").distinct().count() == 1
+    assert sample.round_robin(df, "family", "sql", ["pos"], 6, 1).columns == df.columns
+    kept, log = curate.curate(df.withColumn("_reason", F.lit("x")), F.when(F.col("pos") > 9, "late"), ["family"], "pos")
+    assert kept.columns == [*df.columns, "_reason"] and {r["reason"]: r["n"] for r in log.collect()} == {"late": 2, "duplicate_schema_question": 8}
