@@ -31,6 +31,7 @@ ORDER_CUES = ("sorted by", "ordered by", "sort by", "order by", "ranked by")
 DISTINCT_CUES = ("distinct", "unique", "different")
 LOCATIVES = ("located in", "based in", "from", "in", "near", "around")
 LOCATION_WORDS = frozenset("city town location country state region county province place address".split())
+KEY_WORDS = frozenset(("id", "key", "identifier"))
 NOT_VALUES = frozenset("a all an and any as by each every for from in is our or record records row rows the there total where whose with of to on at more less least most than their its".split())
 
 
@@ -65,11 +66,21 @@ class Grounded:
             return columns[m.target]
         return next(f"value{i}" for i, v in enumerate(self.values, 1) if type(v) is type(m.target) and str(v).casefold() == str(m.target).casefold())
 
+    def hint_of(self, m: Mention) -> str | None:
+        """The table whose noun stands inside the mention of a key column; of several, the one whose key it is."""
+        if m.kind != "column" or identifier_words(m.target)[-1] not in KEY_WORDS:
+            return None
+        phrase = " ".join(identifier_words(self.question[m.start : m.end]))
+        named = [(not c.primary_key, at, t.name) for at, t in enumerate(self.catalog.tables) for c in t.columns if c.name == m.target and any(_occurrences(phrase, a) for a in aliases(t.name))]
+        return min(named)[2] if named else None
+
     def canonical(self) -> str:
-        """The question with slots for tables, columns and values."""
+        """The question with slots for tables, columns and values; a key's table hint stays before it."""
+        tables, _ = slots(self.catalog, self.permuted)
         out, at = [], 0
         for m in self.mentions:
-            out += [self.question[at : m.start], self.slot_of(m)]
+            hint = self.hint_of(m)
+            out += [self.question[at : m.start], f"{tables[hint]} " if hint else "", self.slot_of(m)]
             at = m.end
         return "".join(out) + self.question[at:]
 

@@ -181,6 +181,16 @@ def test_questions(question, expected):
     assert encode(question_plan(parse_ddl(DDL), question)) == expected
 
 
+def test_table_hints_in_key_mentions():
+    c = parse_ddl(DDL)
+    assert ground(c, "List order ids with status 'paid'").canonical() == "List table2 column4 with column6 value1"
+    # a shared key goes to the table that its noun names, first of all where it is the primary key
+    assert ground(c, "customer_id of orders").canonical() == "table1 column1 of table2"
+    assert ground(c, "total of orders").canonical() == "column5 of table2"
+    bare = parse_ddl("CREATE TABLE a (id INTEGER PRIMARY KEY, v TEXT)")
+    assert ground(bare, "id and v").canonical() == "column1 and column2"
+
+
 def test_grounding_rules():
     c = parse_ddl(DDL)
     g = ground(c, "orders with status 'paid' and total above 7")
