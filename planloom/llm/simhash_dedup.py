@@ -16,8 +16,9 @@ the walks find every link.  ``CLOSE`` (R = 3, two blocks) gives 1 error in the f
 *Similar texts.*  ``keep_first`` groups texts whose sets of 5-word shingles have a
 similarity of 0.8 or more.  At that similarity two fingerprints differ in 9.4 bits
 with a deviation of 2.8, so ``WIDE`` misses 16 of 1000 such pairs; ``FINGERPRINTS`` (2)
-independent fingerprints are joined, and both miss 3 of 10,000.  Every link is
-verified by the whole sets before it may connect anything (``similar_texts``).
+independent fingerprints are joined, and both miss 3 of 10,000.  The links only say
+which texts are compared: all those that they connect meet with their whole sets, and
+only pairs that have the similarity connect anything (``similar_texts``).
 
 *Distribution.*  The upper trie is cut into nodes of bounded count (a node with too
 many fingerprints is replaced by its children 4 bits further down).  A fingerprint
@@ -29,8 +30,9 @@ the driver sees, at most ``PARTS`` per level and rotation.
 *Hot groups.*  Equal fingerprints are one fingerprint.  Within a task, pairs of
 nodes whose leaves are all known to be connected are skipped, and only a spanning
 forest leaves the task, so a group of near copies costs neither all its pairs in
-output nor in time.  Where links must be verified, a forest is verified first; then
-every pair that verified links do not connect yet is walked, and none is thinned.
+output nor in time.  Where links must be verified, the forest has the same connected
+groups as all links, so no two texts that link are parted; the pairs of a group are
+compared within a task, and again only a spanning forest of those that pass leaves it.
 
 Defined cases: a text without words (null, empty or blanks only) has fingerprint
 0 and links like any other; repeated rows are linked; rows without an id get a
@@ -90,6 +92,8 @@ CLOSE = Shape(3, 2, (8, 12, 16, 20, 24, 28, 32))
 WIDE = Shape(15, 16, (4, 8, 12), 1 << 20)
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf; node pairs walked at once; leaf pairs compared at once; rows of whole nodes held at once.
 FEW_LEAVES, WALKED, COMPARED, HELD = 64, 1 << 18, 1 << 20, 1 << 18
+#: Near leaf pairs that are tested and linked at once, of a hot group only the first are still apart; edges that leave a task at once.
+TESTED, EDGES = 1 << 15, 1 << 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -266,9 +270,7 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, owner: np.ndarray,
             joined = (changes[a[:, 0]] == changes[a[:, 1] - 1]) & (changes[b[:, 0]] == changes[b[:, 1] - 1]) & (label[a[:, 0]] == label[b[:, 0]])
             a, b, errors = a[~joined], b[~joined], errors[~joined]
         few = (a[:, 1] - a[:, 0]) * (b[:, 1] - b[:, 0]) <= FEW_LEAVES if depth < 64 else np.ones(len(a), dtype=bool)
-        for x, y in _leaf_pairs(a[few], b[few]):
-            near = np.flatnonzero(np.bitwise_count(fps[x] ^ fps[y]) <= shape.radius)
-            x, y = x[near], y[near]
+        for x, y in _near_leaves(fps, a[few], b[few], shape.radius):
             apart = forest.parent[which[x]] != forest.parent[which[y]]
             x, y = x[apart], y[apart]
             if test is not None and len(x):
@@ -299,6 +301,14 @@ def walk(node: np.ndarray, fps: np.ndarray, home: np.ndarray, owner: np.ndarray,
                 stack.append((depth + 1, x[full], y[full], e[full]))
 
 
+def _near_leaves(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of leaves within the radius, at most ``TESTED`` at a time."""
+    for x, y in _leaf_pairs(a, b):
+        near = np.flatnonzero(np.bitwise_count(fps[x] ^ fps[y]) <= radius)
+        for at in range(0, len(near), TESTED):
+            yield x[near[at : at + TESTED]], y[near[at : at + TESTED]]
+
+
 def _leaf_pairs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of leaves under these pairs of nodes, of a node with itself once; about ``COMPARED`` at a time."""
     wide = b[:, 1] - b[:, 0]
@@ -376,33 +386,54 @@ def near_duplicates(df: DataFrame, shape: Shape = CLOSE, *, id_col: str = "doc_i
 # --- groups of similar texts ---
 
 
-def similar_links(nodes: DataFrame, cut: Cut, *, thin: bool) -> DataFrame:
-    """Distinct pairs (u, v) of ``nodes`` (node, n, sketch, component, fp0, fp1 ...) that may reach the similarity.
+def similar_links(nodes: DataFrame, cut: Cut) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, n, sketch, fp0, fp1 ...): a spanning forest, in every task, of those that may reach the similarity.
 
-    Some fingerprint of the two links, and sizes and sketches allow it; pairs within one component are left out.
+    Some fingerprint of the two links, and sizes and sketches allow it.
     """
     shape = cut.shape
     names = [f"fp{i}" for i in range(FINGERPRINTS)]
-    carried = ["at", "fp", "home", "node", "n", "sketch", "component"]
+    carried = ["at", "fp", "home", "node", "n", "sketch"]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for nth in range(FINGERPRINTS):
                 for at, fp, place, home in dealt(batch.column(nth).to_numpy().view(np.uint64), cut, nth):
-                    own = [batch.column(FINGERPRINTS + i).take(pa.array(place)) for i in range(4)]
+                    own = [batch.column(FINGERPRINTS + i).take(pa.array(place)) for i in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fp.view(np.int64)), pa.array(home), *own], names=carried)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in whole_nodes(batches):
-            at, fps, home, node, n, component = (met.column(c).to_numpy() for c in ("at", "fp", "home", "node", "n", "component"))
+            at, fps, home, node, n = (met.column(c).to_numpy() for c in ("at", "fp", "home", "node", "n"))
             test = similar_texts.may_reach(n.astype(np.int64), similar_texts.sketches(met.column("sketch")))
-            for u, v in walk(at, fps.view(np.uint64), home.astype(bool), node, shape, known=component, test=test, thin=thin):
+            for u, v in walk(at, fps.view(np.uint64), home.astype(bool), node, shape, test=test):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))], names=["u", "v"])
 
-    rows = nodes.select(*names, "node", "n", "sketch", "component").mapInArrow(deal, "at bigint, fp bigint, home boolean, node bigint, n int, sketch binary, component bigint")
+    rows = nodes.select(*names, "node", "n", "sketch").mapInArrow(deal, "at bigint, fp bigint, home boolean, node bigint, n int, sketch binary")
     return rows.repartition("at").sortWithinPartitions("at").mapInArrow(join, "u bigint, v bigint").distinct()
 
 
+def similar_edges(groups: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that have the similarity: they connect what all such pairs within the groups (node, component) connect."""
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for nodes, sets in similar_texts.whole_groups(batches):
+            forest = Forest(len(nodes))
+            for x, y in similar_texts.similar_pairs(sets):
+                used = forest.link(x, y)
+                found.append((nodes[x[used]], nodes[y[used]]))
+                rows += len(used)
+            if rows >= EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], names=["u", "v"])
+                found, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], names=["u", "v"])
+
+    return similar_texts.together(groups, texts, owners).mapInArrow(join, "u bigint, v bigint")
+
+
 def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
     """Of texts (id, mark, text), mark a hash of the text: (id, mark) of the first of each group of similar texts."""
     names = [f"fp{i}" for i in range(FINGERPRINTS)]
@@ -425,21 +456,13 @@ def first_of_groups(texts: DataFrame, shape: Shape = WIDE) -> DataFrame:
 
     found = texts.select("id", "mark", "text").mapInArrow(parse, "id bigint, mark bigint, node bigint, n int, sketch binary, " + ", ".join(f"{x} bigint" for x in names))
     unique = settled(found.groupBy("node").agg(F.min(F.struct("id", "mark", "n", "sketch", *names)).alias("m")).select("node", "m.*"))
-    owners = unique.select("node", "id", "mark")
-    cut = place_cut(unique, shape, tuple(names))
-    edges, labels, rows = None, None, unique.withColumn("component", F.col("node"))
-    for thin in (True, False):
-        pairs = settled(similar_links(rows, cut, thin=thin))
-        if pairs.isEmpty():
-            break
-        if thin:  # a forest touches every node that has a link at all; no other is dealt again
-            linked = settled(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        near = settled(similar_texts.verified(pairs, texts, owners))
-        edges = near if edges is None else edges.unionByName(near)
-        labels = components(edges)
-        rows = unique.join(linked, "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if labels is None:
+    owners = unique.select("node", "id", "mark", "n")
+    pairs = settled(similar_links(unique, place_cut(unique, shape, tuple(names))))
+    if pairs.isEmpty():
         return owners.select("id", "mark")
+    linked = components(pairs)
+    linked = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    labels = components(similar_edges(linked, texts, owners))
     groups = owners.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
     return groups.agg(F.min(F.struct("id", "mark")).alias("m")).select("m.*")
 

@@ -1,7 +1,8 @@
 """Similarity of texts by their sets of 5-word shingles, shared over united: 0.8 or more.
 
-``sketch`` is a small summary that can only rule a pair out, ``verified`` compares whole
-sets.  Which pairs are compared is the matter of ``simhash_dedup``.
+``sketch`` is a small summary that can only rule a pair out, ``similar_pairs`` compares whole
+sets.  Which sets are compared is the matter of ``simhash_dedup``; ``together`` brings them
+into one task.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ SKETCH, PIECE = 256, 1 << 20
 SIGNS, FAR = 2, 45
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
+#: Shingles of a group that are compared in one task, a larger group is cut into blocks of half as many; texts cut into shingles at once.
+TOGETHER, CUT = 1 << 20, 256
+#: So few sets are compared pair by pair; pairs counted at once.
+FEW_SETS, COUNTED = 8, 1 << 18
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.array([b in b" \t\n\v\f\r" for b in range(256)])
@@ -153,28 +158,99 @@ def may_reach(sizes: np.ndarray, bits: np.ndarray) -> Callable[[np.ndarray, np.n
     return test
 
 
-def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have the similarity; only texts of these nodes are cut into shingles."""
-    asked = settled(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(owners, "node"))
+def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that share so many shingles have the similarity."""
+    return (OF + SHARED) * shared >= SHARED * (a + b)
+
+
+def similar_pairs(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places, the lower first, of sets that have the similarity; some pairs at a time.
+
+    Every pair of sets is counted: shingles that many sets hold by a product of matrices,
+    others by the list of their sets.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    if n <= FEW_SETS:
+        for y in range(1, n):
+            shared = np.array([len(sets[x]) + len(sets[y]) - len(distinct(np.concatenate([sets[x], sets[y]]))) for x in range(y)])
+            x = np.flatnonzero(reaches(shared, sizes[:y], sizes[y]))
+            yield x, np.full(len(x), y)
+        return
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, holders = np.repeat(np.arange(n), sizes), holders[column]
+    many = 8 * holders > n
+    names, place = np.unique(column[many & (holders > 1)], return_inverse=True)
+    matrix = np.zeros((n, len(names)), dtype=np.float32)
+    matrix[row[many & (holders > 1)], place] = 1
+    few = np.flatnonzero(~many & (holders > 1))
+    row, column, holders = row[few], column[few], holders[few]
+    order = np.argsort(column, kind="stable")
+    listed = row[order]  # the sets of each shingle, one shingle after another
+    start = np.searchsorted(column[order], column)
+    step = max(1, COUNTED // n)
+    for at in range(0, n, step):
+        end = min(at + step, n)
+        counts = (matrix[at:end] @ matrix.T).astype(np.int64).reshape(-1)
+        i, last = np.searchsorted(row, [at, end])
+        made = np.cumsum(holders[i:last])
+        while i < last:
+            k = len(made) - (last - i)
+            j = max(i + 1, i + int(np.searchsorted(made[k:], COUNTED + (made[k - 1] if k else 0), side="right")))
+            wide = holders[i:j]
+            own = np.repeat(np.arange(i, j), wide)
+            near = listed[start[own] + np.arange(len(own)) - np.repeat(np.cumsum(wide) - wide, wide)]
+            counts += np.bincount((row[own] - at) * n + near, minlength=len(counts))
+            i = j
+        x, y = np.nonzero(reaches(counts.reshape(-1, n), sizes[at:end, None], sizes))
+        x += at
+        yield x[x < y], y[x < y]
+
+
+def together(groups: DataFrame, texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows (at, node, s) in tasks sorted by ``at``: the sets of all nodes of groups (node, component).
+
+    A group of at most ``TOGETHER`` shingles has one ``at``.  A larger one is cut into blocks,
+    and every two blocks have one, so that every two sets of a group meet.  Only texts of
+    these nodes are cut into shingles; ``owners`` has their (node, id, mark, n).
+    """
+    asked = settled(groups.join(owners, "node"))
+    large = settled(asked.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > TOGETHER).select("component", F.ceil(F.col("n") * 2 / TOGETHER).cast("int").alias("blocks")))
+    asked = asked.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "component", "left").select("id", "mark", "node", "component", "blocks")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(word_hashes(data)).view(np.int64) for data in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            a, b = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                near.append(OF * shared >= SHARED * (len(x) + len(y) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    found = texts.join(asked, ["id", "mark"]).select("node", "text")
-    sets = settled(found.mapInArrow(cut, "node bigint, s array<bigint>").dropDuplicates(["node"]))
-    left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    met = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
-    return met.mapInArrow(compare, "u bigint, v bigint")
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUT):
+                batch = whole.slice(at, CUT)
+                found = [shingle_set(word_hashes(data)).view(np.int64) for data in batch.column(3).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "blocks", "s"])
+
+    found = texts.join(asked, ["id", "mark"]).select("node", "component", "blocks", "text")
+    sets = found.mapInArrow(cut, "node bigint, component bigint, blocks int, s array<bigint>").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != own)
+    meets = F.transform(others, lambda j: F.xxhash64("component", F.least(own, j), F.greatest(own, j)))
+    at = F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("component"))).otherwise(meets))
+    return sets.select(at.alias("at"), "node", "s").repartition("at").sortWithinPartitions("at")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(nodes, sets) of one ``at`` after another, of rows (at, node, s) sorted by it."""
+    nodes: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, node = (batch.column(i).to_numpy() for i in range(2))
+        values, ends = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            if sets and at[a] != last:
+                yield np.concatenate(nodes), sets
+                nodes, sets = [], []
+            last = at[a]
+            nodes.append(node[a:b])
+            sets += [values[ends[i] : ends[i + 1]] for i in range(a, b)]
+    if sets:
+        yield np.concatenate(nodes), sets

@@ -163,6 +163,48 @@ def test_pairs_are_verified_before_they_are_thinned(spark):
     assert len(set(want)) < 10 and kept_ids(spark, texts) == sorted(set(want))
 
 
+def test_near_copies_below_the_similarity_are_compared_within_tasks(spark, monkeypatch):
+    base, rows = prose(71, 1000), []
+    texts = [changed(base, 21, i) for i in range(100)]  # 0.65 to each other, with close fingerprints
+    texts += [changed(texts[i], 2, 200 + i) for i in range(0, 100, 10)]
+    settled = simhash_dedup.settled
+
+    def counted(df):
+        out = settled(df)
+        rows.append(out.count() if out.columns == ["u", "v"] else 0)
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "settled", counted)
+    want = brute_similar_groups(texts)
+    assert sorted(set(want)) == list(range(100)) and kept_ids(spark, texts) == list(range(100))
+    assert 0 < max(rows) < 8 * len(texts)  # all pairs are 5,995
+
+
+@pytest.mark.parametrize("together", [1 << 20, 1500])
+def test_groups_meet_whole_in_blocks(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash_dedup.similar_texts, "TOGETHER", together)
+    base = prose(72, 120)
+    texts = [changed(base, 1 + i % 5, i) for i in range(60)] + [prose(73, 120)] * 2
+    want = brute_similar_groups(texts)
+    assert len(set(want)) > 2 and kept_ids(spark, texts) == sorted(set(want))
+
+
+@pytest.mark.parametrize(("n", "counted"), [(2, 1 << 18), (7, 1 << 18), (9, 1 << 18), (90, 1 << 18), (90, 50), (90, 700)])
+def test_similar_pairs_equal_brute_force(monkeypatch, n, counted):
+    monkeypatch.setattr(simhash_dedup.similar_texts, "COUNTED", counted)
+    rng = random.Random(n + counted)
+    bases = [rng.sample(range(10**6), rng.randint(1, 60)) for _ in range(max(2, n // 20))]
+    sets = [set(rng.choice(bases)) for _ in range(n)]
+    for s in sets:
+        for x in rng.sample(sorted(s), rng.randint(0, len(s) // 6)):
+            s.remove(x)
+        s |= set(rng.sample(range(300), rng.randint(0, 4))) or {rng.randint(0, 9)}
+    got = [(i, j) for x, y in simhash_dedup.similar_texts.similar_pairs([np.array(sorted(s), dtype=np.int64) for s in sets]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    want = [(i, j) for j in range(n) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert sorted(got) == sorted(want)
+    assert n < 90 or len(want) > 50
+
+
 def test_every_pair_at_the_similarity_is_found(spark):
     base = [prose(700 + i, 200) for i in range(60)]
     texts = base + [f"{t} {prose(800 + i, 48)}" for i, t in enumerate(base)]  # 196 of 244 shingles
